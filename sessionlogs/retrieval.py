@@ -16,6 +16,7 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlogs.parse import fallback_error_type
 from sessionlogs.skew import SEGMENT_ROWS, segments, sequence
@@ -122,7 +123,7 @@ def split_recursively(
     return [c for c in (c.strip() for c in chunks) if c]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _recursive_chunks(text: pd.Series) -> pd.Series:
     return text.fillna("").map(split_recursively)
 

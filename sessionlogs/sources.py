@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlogs import parse
@@ -54,9 +54,13 @@ def scan_log_text(spark: SparkSession, paths: Sequence[str], skip_missing: bool
     return reduce(DataFrame.unionByName, scans)
 
 
+def service_from_path(path: Column) -> Column:
+    """File name up to its first dot."""
+    return F.regexp_extract(path, r"([^/.]*)[^/]*\z", 1)
+
+
 def with_file_bucket(records: DataFrame) -> DataFrame:
-    """Bucket of a file record: the file name up to its first dot."""
-    return records.withColumn("source_bucket", F.regexp_extract("source_file", r"^([^.]*)", 1))
+    return records.withColumn("source_bucket", service_from_path(F.col("source_file")))
 
 
 def time_range(
