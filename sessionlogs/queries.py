@@ -284,7 +284,7 @@ def root_urc_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
-    indexed = sources.scan_indexed_docs(spark, _index(spark, folder)).drop("event_date")
+    indexed = sources.scan_indexed_docs(spark, _index(spark, folder))
     files = parse.parse_lines(lines(spark, folder))
     return sessions.merge_sources(indexed, sources.with_file_bucket(files))
 

@@ -67,7 +67,7 @@ def time_range(
     records: DataFrame,
     start: datetime | None = None,
     end: datetime | None = None,
-    time_field: str = "ts",
+    time: Column | None = None,
 ) -> DataFrame:
     """Inclusive range; without an end it spans two minutes, without a start it is not applied."""
     if end is not None and start is None:
@@ -75,10 +75,12 @@ def time_range(
     if start is None:
         return records
     end = end or start + DEFAULT_SPAN
-    inside = F.col(time_field).between(F.lit(start), F.lit(end))
+    time = F.col("ts") if time is None else time
     if "event_date" in records.columns:
-        inside = F.col("event_date").between(F.lit(start.date()), F.lit(end.date())) & inside
-    return records.where(inside)
+        # whole days first, by partition; documents stored without days have none
+        day = F.col("event_date")
+        records = records.where(day.isNull() | day.between(F.lit(start.date()), F.lit(end.date())))
+    return records.where(time.between(F.lit(start), F.lit(end)))
 
 
 def earliest(records: DataFrame, max_results: int | None) -> DataFrame:
@@ -88,8 +90,13 @@ def earliest(records: DataFrame, max_results: int | None) -> DataFrame:
     return records.orderBy("ts", *LINE_ORDER).limit(max_results)
 
 
+def indexed_time() -> Column:
+    return F.try_to_timestamp(F.col("`@timestamp`"))
+
+
 def from_indexed(docs: DataFrame) -> DataFrame:
-    """Indexed documents to records; fields the writer left out are parsed from the message."""
+    """Indexed documents to records. Message fields are read again; the session id is taken as
+    stored, or from the message for documents that were stored without message fields."""
     order = {
         "source_idx": F.lit(0),
         "file_idx": F.lit(0),
@@ -97,21 +104,18 @@ def from_indexed(docs: DataFrame) -> DataFrame:
         "block_start": F.lit(0).cast("bigint"),
         "line_no": F.monotonically_increasing_id(),
     }
-    stored = set(docs.columns)
-    order_cols = [
-        (F.coalesce(F.col(f"`{n}`"), c) if n in stored else c).alias(n) for n, c in order.items()
-    ]
+    order_cols = [F.coalesce(F.col(n), c).alias(n) for n, c in order.items()]
     message = F.coalesce(F.col("message"), F.lit(""))
-    explicit = F.col("session_id") if "session_id" in stored else F.lit(None).cast("string")
-    keep = ["event_date"] if "event_date" in stored else []
+    ts = indexed_time()
     return parse.reparse(
         docs.select(
-            *keep,
             *order_cols,
-            F.coalesce(explicit, parse.session_id(message)).alias("session_id"),
+            F.when(F.col("is_login").isNull(), parse.session_id(message))
+            .otherwise(F.col("session_id"))
+            .alias("session_id"),
             F.lit(None).cast("string").alias("ts_raw"),
-            F.to_timestamp(F.col("`@timestamp`")).alias("ts"),
-            F.col("`@timestamp`").isNull().alias("ts_invalid"),
+            ts.alias("ts"),
+            ts.isNull().alias("ts_invalid"),
             F.col("`log.level`").alias("level"),
             F.col("`service.name`").alias("service"),
             message.alias("message"),
@@ -129,8 +133,8 @@ def scan_indexed_docs(
 ) -> DataFrame:
     """Structured documents written by ``sinks.write_index``, as records."""
     docs = spark.read.format(fmt).schema(INDEXED_DOC).load(path)
-    records = from_indexed(docs).withColumn("source_bucket", F.lit(INDEX_BUCKET))
-    return earliest(time_range(records, start, end), max_results)
+    records = from_indexed(time_range(docs, start, end, indexed_time()))
+    return earliest(records.withColumn("source_bucket", F.lit(INDEX_BUCKET)), max_results)
 
 
 def scan_documents(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:

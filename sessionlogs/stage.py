@@ -10,12 +10,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+@cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="sessionlogs-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
@@ -26,9 +32,7 @@ def scratch_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="sessionlogs-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return _local_dir()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
