@@ -92,8 +92,9 @@ def call_tree(
     after n rounds every decision up to the n-th record is final, so that always ends.
     """
     reqs = requests(positions)
-    roots = root_nodes(session_roots(positions, by_input_order))
-    hot = hot_keys(reqs, ["session_id", "uid"], positions.count(), hot_rows)
+    roots = materialise(root_nodes(session_roots(positions, by_input_order)), "roots")
+    total = positions.count()
+    hot = hot_keys(reqs, ["session_id", "uid"], total, hot_rows)
 
     def rounds(reqs: DataFrame, roots: DataFrame) -> DataFrame:
         nodes = roots
@@ -112,17 +113,21 @@ def call_tree(
     )
     if several.isEmpty():
         return nodes
-    reqs = materialise(reqs.join(several, "session_id", "left_semi"), "requests")
-    roots = materialise(roots.join(several, "session_id", "left_semi"), "roots")
-    settled = nodes.join(several, "session_id", "left_semi")
+    big = hot_keys(reqs, ["session_id"], total, hot_rows)
+
+    def of_several(rows: DataFrame, spread: str, how: str = "left_semi") -> DataFrame:
+        return join_many_to_one(rows, several, ["session_id"], spread, big, how)
+
+    reqs = materialise(of_several(reqs, "seq"), "requests")
+    roots = roots.join(several, "session_id", "left_semi")
+    settled = of_several(nodes, "attach_seq")
     while True:
         after = materialise(_grow(reqs, settled, roots, hot), "nodes")
         if _same(after, settled):
             break
         settled = after
-    return materialise(
-        nodes.join(several, "session_id", "left_anti").unionByName(settled), "nodes"
-    )
+    single = of_several(nodes, "attach_seq", "left_anti")
+    return materialise(single.unionByName(settled), "nodes")
 
 
 def orphans(positions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -199,18 +204,52 @@ def node_errors(positions: DataFrame, nodes: DataFrame, hot_rows: int = HOT_ROWS
     )
 
 
-def children(nodes: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
-    """Ids of the children of each node, in the order they attached, in segments."""
-    kids = nodes.where(F.col("parent_urc").isNotNull()).select(
+def _kids(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("parent_urc").isNotNull()).select(
         "session_id",
         F.col("parent_urc").alias("node_urc"),
         F.col("urc").alias("child_urc"),
         "attach_seq",
     )
+
+
+def children(nodes: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
+    """Ids of the children of each node, in the order they attached, in segments."""
     return segments(
-        kids, ["session_id", "node_urc"], "attach_seq", F.col("child_urc"), "children", size
+        _kids(nodes), ["session_id", "node_urc"], "attach_seq", F.col("child_urc"), "children", size
     ).withColumnRenamed("node_urc", "urc")
 
 
+def calls_with_children(
+    nodes: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Every node with its children; one with more than ``size`` has a row per segment (``part``).
+
+    Children get level and position of their node before they are listed, so the
+    lists themselves are not joined.
+    """
+    kids = _kids(nodes)
+    hot = hot_keys(kids, ["session_id", "node_urc"], nodes.count(), hot_rows)
+    at = nodes.select(
+        "session_id",
+        F.col("urc").alias("node_urc"),
+        "level",
+        F.col("attach_seq").alias("node_seq"),
+    )
+    keys = ["session_id", "node_urc"]
+    listed = segments(
+        join_many_to_one(kids, at, keys, "attach_seq", hot),
+        [*keys, "level", "node_seq"],
+        "attach_seq",
+        F.col("child_urc"),
+        "children",
+        size,
+    ).withColumnRenamed("segment_no", "part")
+    leaves = at.join(kids.select(*keys).distinct(), keys, "left_anti").withColumns(
+        {"part": F.lit(0).cast("bigint"), "children": F.array().cast("array<string>")}
+    )
+    return listed.unionByName(leaves)
+
+
 def total_calls(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_calls"))

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from sessionlogs import calltree
 from sessionlogs.parse import SEVERITIES, content_severity, is_error_level, iso_time
-from sessionlogs.skew import HOT_ROWS, SEGMENT_ROWS, segments, sequence
+from sessionlogs.skew import (
+    HOT_ROWS,
+    SEGMENT_ROWS,
+    hot_keys,
+    join_many_to_one,
+    segments,
+    sequence,
+)
 
 BREAKDOWN = [s.lower() for s in reversed(SEVERITIES)]
 
@@ -82,6 +89,17 @@ def chain_errors(pool: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
     )
 
 
+def with_chain_errors(
+    sessions: DataFrame, pool: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """One row per session joined to the segments of its chain, if it has one."""
+    listed = chain_errors(pool, size)
+    hot = hot_keys(pool, ["session_id"], pool.count(), hot_rows)
+    found = join_many_to_one(listed, sessions, ["session_id"], "segment_no", hot)
+    without = sessions.join(pool.where("in_chain").select("session_id").distinct(), "session_id", "left_anti")
+    return found.unionByName(without, allowMissingColumns=True)
+
+
 def trigger_errors(pool: DataFrame) -> DataFrame:
     """The first error of each chain; chains without errors have none."""
     return (
@@ -108,7 +126,7 @@ def correlation_headers(nodes: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def correlation_records(
-    nodes: DataFrame, pool: DataFrame, size: int = SEGMENT_ROWS
+    nodes: DataFrame, pool: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Nested correlation per session: calls with their children, error chain, metrics.
 
@@ -116,18 +134,13 @@ def correlation_records(
     ones continue in further rows with the same session id. A node with more than
     ``size`` children is repeated, in order, with the next part of its children.
     """
-    parts = calltree.children(nodes, size).withColumnRenamed("segment_no", "part")
-    entries = nodes.join(parts, ["session_id", "urc"], "left").select(
+    entries = calltree.calls_with_children(nodes, size, hot_rows).select(
         "session_id",
-        "attach_seq",
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.struct(
-            "urc",
-            F.coalesce("children", F.array().cast("array<string>")).alias("children"),
-            "level",
-        ).alias("call"),
+        "node_seq",
+        "part",
+        F.struct(F.col("node_urc").alias("urc"), "children", "level").alias("call"),
     )
-    ordered = sequence(entries, ["session_id", "attach_seq", "part"], "api_calls", "call_seq")
+    ordered = sequence(entries, ["session_id", "node_seq", "part"], "api_calls", "call_seq")
     calls = segments(ordered, ["session_id"], "call_seq", F.col("call"), "api_calls", size)
     errors = chain_errors(pool, size)
     body = calls.join(errors, ["session_id", "segment_no"], "full")
@@ -138,7 +151,11 @@ def correlation_records(
         "impact_level",
         F.struct(*BREAKDOWN).alias("severity_breakdown"),
     )
-    return body.join(correlation_headers(nodes, pool), "session_id").select(
+    hot = hot_keys(nodes, ["session_id"], nodes.count(), hot_rows)
+    rows = join_many_to_one(
+        body, correlation_headers(nodes, pool), ["session_id"], "segment_no", hot
+    )
+    return rows.select(
         "session_id",
         "segment_no",
         "root_urc",

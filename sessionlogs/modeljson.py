@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlogs.parse import evaluated_once
 from sessionlogs.schemas import ANALYSIS, RECOMMENDATIONS
 
 FENCE = "```"
@@ -19,14 +20,11 @@ def strip_code_fence(text: Column) -> Column:
     ).otherwise(text)
 
 
-def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
 def parsed_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Replies with ``body`` (fence removed) and ``parsed_ok``."""
+    """Replies with ``body`` (fence removed), its JSON as a variant (``json``) and ``parsed_ok``."""
     body = replies.withColumn("body", strip_code_fence(F.col(reply)))
-    return body.withColumn("parsed_ok", F.coalesce(is_json(F.col("body")), F.lit(False)))
+    parsed = evaluated_once(body, "json", F.try_parse_json("body"))
+    return parsed.withColumn("parsed_ok", F.col("json").isNotNull())
 
 
 def accepted(replies: DataFrame) -> DataFrame:
@@ -42,36 +40,33 @@ def analyses(replies: DataFrame) -> DataFrame:
 
     ``key_error_log_messages`` may be a lone string; it must end as a non-empty list of strings.
     """
-    v = F.try_parse_json("body")
-    raw = F.try_variant_get(v, "$.key_error_log_messages", "variant")
-    kind = F.schema_of_variant(raw)
-    # a list of one type; an empty one is ARRAY<VOID>
-    is_text, is_list = kind == "STRING", kind == "ARRAY<STRING>"
-    messages = F.when(is_text, F.array(F.try_variant_get(raw, "$", "string"))).when(
-        is_list, F.try_variant_get(raw, "$", "array<string>")
+    def member(name: str, kind: str = "variant") -> Column:
+        return F.try_variant_get("json", f"$.{name}", kind)
+
+    def kind_of(name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(member(name)), F.lit("VOID"))
+
+    names = ["problem_description", "probable_root_cause_summary", "key_error_log_messages",
+             "confidence_score", "associated_identifiers"]
+    rows = accepted(replies).select(
+        "*", F.from_json("body", ANALYSIS).alias("_a"), *[kind_of(n).alias(f"_{n}") for n in names]
     )
-    rows = (
-        accepted(replies)
-        .withColumn("_kind", kind)
-        .withColumn("key_error_log_messages", messages)
-        .withColumn("_a", F.from_json("body", ANALYSIS))
+    # a list of strings; an empty list is ARRAY<VOID>
+    messages = F.when(
+        F.col("_key_error_log_messages") == "STRING",
+        F.array(member("key_error_log_messages", "string")),
+    ).when(
+        F.col("_key_error_log_messages") == "ARRAY<STRING>",
+        member("key_error_log_messages", "array<string>"),
     )
-    score = F.try_variant_get(v, "$.confidence_score", "variant")
-    score_kind = F.coalesce(F.schema_of_variant(score), F.lit("VOID"))
-    numeric = score_kind.rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$")
-    text_kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    rows = rows.withColumn("key_error_log_messages", messages)
+    numeric = F.col("_confidence_score").rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*|TINYINT|SMALLINT|INT)$")
     reason = (
-        F.when(F.coalesce(text_kind("problem_description"), F.lit("")) != "STRING", "problem_description")
-        .when(
-            F.coalesce(text_kind("probable_root_cause_summary"), F.lit("")) != "STRING",
-            "probable_root_cause_summary",
-        )
-        .when(F.coalesce(F.size("key_error_log_messages") < 1, F.lit(True)), "key_error_log_messages")
+        F.when(F.col("_problem_description") != "STRING", "problem_description")
+        .when(F.col("_probable_root_cause_summary") != "STRING", "probable_root_cause_summary")
+        .when(F.col("key_error_log_messages").isNull(), "key_error_log_messages")
         .when(~numeric, "confidence_score")
-        .when(
-            ~F.coalesce(text_kind("associated_identifiers"), F.lit("")).startswith("OBJECT"),
-            "associated_identifiers",
-        )
+        .when(~F.col("_associated_identifiers").startswith("OBJECT"), "associated_identifiers")
     )
     return (
         rows.withColumn("reason", reason)
@@ -89,7 +84,7 @@ def analyses(replies: DataFrame) -> DataFrame:
                 ),
             ),
         )
-        .drop("_a", "_kind")
+        .drop("_a", *[f"_{n}" for n in names])
     )
 
 

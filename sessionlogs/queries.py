@@ -454,9 +454,10 @@ def documentation_context(spark: SparkSession, folder: str) -> DataFrame:
         "section_queries",
     )
     found = retrieval.documentation_context(queries, retrieval.text_to_vector(model, chunks))
+    found = materialise(found, "found")
     return (
-        found.join(queries.select("query_id", F.col("content").alias("query")), "query_id")
-        .join(chunks, "vec_id")
+        chunks.join(found, "vec_id")
+        .join(queries.select("query_id", F.col("content").alias("query")), "query_id")
         .select("section", "query", "rank", "score", "source", "chunk", "total_chunks", "content")
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from sessionlogs.parse import fallback_error_type
 from sessionlogs.skew import SEGMENT_ROWS, segments, sequence
+from sessionlogs.stage import materialise
 
 # --- fixed values: chunk sizes and query texts ---
 CHUNK_SIZE = 1000
@@ -227,12 +228,16 @@ def text_to_vector(model: PipelineModel, docs: DataFrame) -> DataFrame:
 
 
 def ranked_contents(top: DataFrame, contents: DataFrame) -> DataFrame:
-    """``topk_similar`` rows with the ``content`` of their chunk."""
-    return contents.select("vec_id", "content").join(top, "vec_id")
+    """``topk_similar`` rows with the ``content`` of their chunk.
+
+    The few rows are written first: the planner then knows their size and need not
+    shuffle the contents.
+    """
+    return contents.select("vec_id", "content").join(materialise(top, "top"), "vec_id")
 
 
 def relevant_context(top: DataFrame, contents: DataFrame) -> DataFrame:
-    """Contents of the top chunks of each query, best first, joined by a space (at most k each)."""
+    """Contents of the top chunks of each query (at most k), best first, joined by a space."""
     return (
         ranked_contents(top, contents)
         .groupBy("query_id")

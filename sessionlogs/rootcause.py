@@ -97,19 +97,18 @@ def root_cause_records(
     more than ``size`` errors continues in further rows (``segment_no``).
     """
     context = trigger_context(chains.trigger_errors(pool), nodes, pool)
-    rows = context.join(chains.chain_errors(pool, size), "session_id", "left")
     if model_output is None:
         analysis = F.lit(None).cast(ANALYSIS)
         advice = F.lit(None).cast(RECOMMENDATIONS)
     else:
-        rows = rows.join(
+        context = context.join(
             model_output.where(F.col("llm_initial_analysis").isNotNull()).select(
                 "session_id", "llm_initial_analysis", "llm_recommendations"
             ),
             "session_id",
         )
         analysis, advice = F.col("llm_initial_analysis"), F.col("llm_recommendations")
-    return rows.select(
+    return chains.with_chain_errors(context, pool, size).select(
         *scalar_fields(),
         F.coalesce("segment_no", F.lit(0)).alias("segment_no"),
         _chain(F.col("errors")).alias("full_error_chain_details_for_context"),
@@ -131,7 +130,7 @@ def rca_context(
     A long chain continues in further rows, each with the details.
     """
     context = trigger_context(chains.trigger_errors(pool), nodes, pool)
-    rows = context.join(chains.chain_errors(pool, size), "session_id", "left")
+    rows = chains.with_chain_errors(context, pool, size)
     text = F.concat_ws(
         "\n",
         _detail("Session ID", "session_id", "unknown"),

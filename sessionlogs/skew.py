@@ -92,6 +92,8 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, floor: int = HOT_ROWS)
     MAX_HOT_KEYS keys can qualify. Returns None when there are none.
     """
     limit = max(floor, total // MAX_HOT_KEYS)
+    if total <= limit:
+        return None
     hot = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))

@@ -110,6 +110,13 @@ def test_hot_parents_are_salted_without_changing_results(spark):
     plain = chains.error_pool(a.positions, a.nodes).drop("chain_seq")
     salted = chains.error_pool(a.positions, a.nodes, hot_rows=3).drop("chain_seq")
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    plain = chains.correlation_records(a.nodes, a.pool, size=4).collect()
+    salted = chains.correlation_records(a.nodes, a.pool, size=4, hot_rows=3).collect()
+    assert sorted(salted, key=str) == sorted(plain, key=str)
+    triggers = chains.trigger_errors(a.pool).select("session_id", "message")
+    plain = chains.with_chain_errors(triggers, a.pool, size=4).collect()
+    salted = chains.with_chain_errors(triggers, a.pool, size=4, hot_rows=3).collect()
+    assert sorted(salted, key=str) == sorted(plain, key=str)
 
 
 def test_hot_keys_counts_and_fans_out(spark):
