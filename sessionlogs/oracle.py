@@ -198,6 +198,51 @@ plain as (select *, case when reply like '```%' and reply like '%```'
     then regexp_replace(regexp_replace(reply, '^```[^\\n]*\\n', ''), '\\n```$', '') else reply end as body_text from replies)
 """
 
+_NL = " || chr(10) || "
+
+
+def _line(label: str, value: str) -> str:
+    return f"'- {label}: ' || {value}"
+
+
+def _json(pad: int, name: str, value: str, last: bool = False) -> str:
+    """A text member of pretty-printed JSON."""
+    end = "" if last else ","
+    quoted = f"coalesce('\"' || {value} || '\"', 'null')"
+    return f"'{' ' * pad}\"{name}\" : ' || {quoted} || '{end}'"
+
+
+_ERROR_JSON = _NL.join(
+    ["'{'", _json(4, "timestamp", _ISO.format("c.ts")), _json(4, "level", "c.level")]
+    + [_json(4, "source", "c.service"), _json(4, "message", "c.message")]
+    + [_json(4, n, f"c.{n}") for n in ("error_type", "urc", "uid")]
+    + [_json(4, "calculated_severity", "c.sev", last=True), "'  }'"]
+)
+_CHAIN_JSON = _NL.join(
+    ["'{'", _json(2, "session_id", "t.session_id"), """'  "errors" : [ ' || l.errors || ' ],'"""]
+    + ["""'  "total_errors" : ' || h.total_errors || ','""", _json(2, "impact_level", "h.impact_level")]
+    + ["""'  "severity_breakdown" : {'"""]
+    + [f"""'    "{n}" : ' || h.{n} || ','""" for n in ("critical", "high", "medium")]
+    + ["""'    "low" : ' || h.low""", "'  }'", "'}'"]
+)
+_RCA_TEXT = _NL.join(
+    [_line("Session ID", "t.session_id"), _line("URC", "coalesce(t.urc, 'N/A')")]
+    + [_line("UID", "coalesce(t.uid, 'N/A')"), _line("Service", "t.service")]
+    + [_line("Error type", "t.error_type"), _line("Message", "t.message"), _line("Severity", "t.sev")]
+    + ["'- API endpoint: N/A'", "'- Transaction type: N/A'", "'Error chain:'", _CHAIN_JSON]
+    + ["'Documentation:'", "''"]
+)
+_ADVICE_TEXT = _NL.join(
+    ["'Analysis:'", "'{'", _json(2, "problem_description", "a.event_type")]
+    + [_json(2, "probable_root_cause_summary", "'k'")]
+    + ["""'  "key_error_log_messages" : [ "' || a.msg || '" ],'""", """'  "confidence_score" : 0.5,'"""]
+    + ["""'  "associated_identifiers" : {'""", _json(4, "session_id", "a.session_id")]
+    + [f"""'    "{n}" : null,'""" for n in ("urc", "uid", "service_name", "api_endpoint")]
+    + ["""'    "transaction_type" : null'""", "'  }'", "'}'"]
+    + [_line("Message", "t.message"), _line("Error type", "t.error_type")]
+    + [_line("Session ID", "t.session_id"), _line("Service", "t.service"), "'Documentation:'", "''"]
+)
+
 ORACLES: dict[str, str] = {
     "scan_log_text": _recs(f"{_TS}, level, service, message"),
     "service_from_path": "select page_id, regexp_extract(url, '([^/.]*)[^/]*$', 1) as service from pages",
@@ -354,6 +399,9 @@ ORACLES: dict[str, str] = {
         greatest(cast(ceil((length(text) - 200) / 800.0) as bigint), 1) as total from documents where length(text) > 0)
         select doc_id as source, i as chunk, total as total_chunks, substr(text, i * 800 + 1, 1000) as content
         from (select *, unnest(range(total)) as i from n)""",
+    "replace_session_docs": """select 's' || cast(doc_id % 10 as varchar) as session_id,
+        cast(sum(greatest(cast(ceil((length(text) - 200) / 800.0) as bigint), 1)) as bigint) as n_chunks,
+        count(*) as n_docs from documents where length(text) > 0 group by 1""",
     "topk_similar": _TOP + "select query_id, rank, vec_id, score from top where rank <= 5",
     "relevant_context": _TOP + """select query_id, string_agg(d.text, ' ' order by rank) as context
         from top join documents d on d.doc_id = vec_id where rank <= 5 group by query_id""",
@@ -368,6 +416,23 @@ ORACLES: dict[str, str] = {
         cast(null as varchar) as error_specific_api_endpoint,
         cast(null as varchar) as error_specific_transaction_type, chain_impact as overall_chain_impact from found""",
     ),
+    "rca_context_pack": _sql(
+        "trig",
+        f"""select t.session_id, cast(l.segment_no as bigint) as segment_no, {_RCA_TEXT} as context from trig t
+        join heads h on h.session_id = t.session_id
+        join (select c.session_id, (c.e - 1) // 1000 as segment_no,
+            string_agg({_ERROR_JSON}, ', ' order by c.e) as errors from chain c group by 1, 2) l
+        on l.session_id = t.session_id""",
+    ),
+    "recommendation_context_pack": _sql(
+        "trig",
+        f"""select t.session_id, {_ADVICE_TEXT} as context from trig t join (
+            select session_id, arg_min(event_type, event_id) as event_type, arg_min(msg, event_id) as msg from (
+                select 'u' || lpad(cast(user_id as varchar), 6, '0') as session_id, event_id, event_type,
+                'event ' || event_type || ' ' || json_extract_string(props, '$.k') as msg from events
+                where event_id % 4 <> 2 and (event_id % 4 = 3 or event_id % 9 <> 0)) group by session_id) a
+        on a.session_id = t.session_id""",
+    ),
     "strip_code_fence": _REPLIES + "select event_id, body_text as body from plain",
     "parse_model_json": _REPLIES + "select event_id, json_valid(body_text) as parsed_ok from plain",
     "validate_analysis": _REPLIES + """select event_id, messages <> '[]' as is_valid,

@@ -396,8 +396,8 @@ def chunk_recursive(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replace_session_docs(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = retrieval.chunk_recursive(_table(spark, folder, "documents"), "doc_id", "text")
-    chunks = chunks.withColumn("session_id", F.concat(F.lit("s"), F.col("source") % 10))
+    chunks = chunk_fixed(spark, folder)
+    chunks = chunks.withColumn("session_id", F.concat(F.lit("s"), (F.col("source") % 10).cast("string")))
     path = fresh_path(spark, "session-docs")
     retrieval.replace_session_docs(chunks, path)
     retrieval.replace_session_docs(chunks, path)

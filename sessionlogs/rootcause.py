@@ -11,6 +11,9 @@ from sessionlogs.schemas import ANALYSIS, RECOMMENDATIONS
 from sessionlogs.skew import SEGMENT_ROWS
 
 
+PRETTY = {"pretty": "true", "ignoreNullFields": "false"}
+
+
 def chain_of_trigger(triggers: DataFrame, pool: DataFrame) -> DataFrame:
     """Triggers whose chain is found: one with an error of the same message or time.
 
@@ -143,7 +146,7 @@ def rca_context(
         _detail("API endpoint", F.lit(None).cast("string"), "N/A"),
         _detail("Transaction type", F.lit(None).cast("string"), "N/A"),
         F.lit("Error chain:"),
-        F.to_json(_chain(F.col("errors")), {"pretty": "true"}),
+        F.to_json(_chain(F.col("errors")), PRETTY),
         F.lit("Documentation:"),
         F.lit(doc_context),
     )
@@ -163,7 +166,7 @@ def recommendation_context(
     text = F.concat_ws(
         "\n",
         F.lit("Analysis:"),
-        F.to_json("llm_initial_analysis", {"pretty": "true"}),
+        F.to_json("llm_initial_analysis", PRETTY),
         _detail("Message", "message", "N/A"),
         _detail("Error type", "error_type", "unknown"),
         _detail("Session ID", "session_id", "unknown"),

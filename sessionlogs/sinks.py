@@ -57,7 +57,7 @@ def write_routed_lines(lines: DataFrame, path: str) -> None:
 
 
 def _write_sessions(rows: DataFrame, path: str, folder_per_session: bool) -> None:
-    writer = rows.hint("rebalance", "session_id").write.mode("append")
+    writer = rows.hint("rebalance", "session_id").write.mode("append").option("ignoreNullFields", False)
     if folder_per_session:
         writer = writer.partitionBy("session_id")
     writer.json(path)
