@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlogs import calltree, chains, parse, rootcause, sessions, sources
+from sessionlogs import calltree, chains, parse, rootcause, sessions, sinks, sources
 
 
 class Analysis:
@@ -39,6 +39,17 @@ class Analysis:
     def root_causes(self, model_output: DataFrame | None = None) -> DataFrame:
         return rootcause.root_cause_records(self.nodes, self.pool, model_output)
 
+    def raw_logs(self) -> DataFrame:
+        """Deduplicated records of the sessions, under the field names of an index."""
+        return sinks.to_indexed(self.positions, "source_bucket")
+
+    def write(self, path: str, model_output: DataFrame | None = None) -> None:
+        """Write the full analysis and the root causes as JSON lines below ``path``."""
+        sinks.write_full_analysis(self.correlations(), f"{path}/correlations")
+        sinks.write_full_analysis(self.log_content(), f"{path}/log_content")
+        sinks.write_full_analysis(self.raw_logs(), f"{path}/raw_logs")
+        sinks.write_root_causes(self.root_causes(model_output), f"{path}/root_causes")
+
 
 def analyse(
     spark: SparkSession,

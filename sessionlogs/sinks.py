@@ -9,9 +9,10 @@ from sessionlogs.parse import iso_time, route
 from sessionlogs.sources import LINE_ORDER
 
 
-def to_indexed(records: DataFrame) -> DataFrame:
-    """Records under the field names of an index, absent values as NULL."""
+def to_indexed(records: DataFrame, *more: str) -> DataFrame:
+    """Records under the field names of an index, absent values as NULL, with columns ``more``."""
     return records.select(
+        *more,
         iso_time(F.col("ts")).alias("@timestamp"),
         F.col("level").alias("log.level"),
         F.col("service").alias("service.name"),
@@ -63,12 +64,12 @@ def _write_sessions(rows: DataFrame, path: str, folder_per_session: bool) -> Non
     writer.json(path)
 
 
-def write_full_analysis(correlations: DataFrame, path: str, folder_per_session: bool = False) -> None:
-    """Correlation records as JSON lines, without root causes.
+def write_full_analysis(rows: DataFrame, path: str, folder_per_session: bool = False) -> None:
+    """Analysis rows that have a ``session_id`` as JSON lines, without root causes.
 
     ``folder_per_session`` suits few sessions; one folder for each of millions does not.
     """
-    _write_sessions(correlations.drop("root_causes"), path, folder_per_session)
+    _write_sessions(rows.drop("root_causes"), path, folder_per_session)
 
 
 def write_root_causes(root_causes: DataFrame, path: str, folder_per_session: bool = False) -> None:

@@ -139,6 +139,18 @@ def test_result_files(spark, log_files, tmp_path):
     assert not [f for f in os.listdir(tmp_path / "none") if f.endswith(".json") and os.path.getsize(tmp_path / "none" / f)]
 
 
+def test_whole_analysis_is_written(spark, log_files, tmp_path):
+    analyse(spark, log_files=log_files).write(str(tmp_path / "out"))
+    read = {name: spark.read.json(str(tmp_path / "out" / name)) for name in os.listdir(tmp_path / "out")}
+    assert {name: df.count() for name, df in read.items()} == {
+        "correlations": 1, "log_content": 2, "raw_logs": 4, "root_causes": 1
+    }
+    # absent values are kept as nulls
+    assert "cif_id" in read["raw_logs"].columns
+    cause = read["root_causes"].select(F.inline("root_causes")).first()
+    assert cause.error_specific_api_endpoint is None and cause.error_specific_urc == "urc-pay-req-s1-1"
+
+
 def test_routed_lines(spark, log_files, tmp_path):
     lines = sources.scan_log_text(spark, log_files)
     sinks.write_routed_lines(lines, str(tmp_path / "routes"))
