@@ -40,6 +40,21 @@ def test_scan_keeps_order_and_skips_missing_files(spark, log_files):
         sources.scan_log_text(spark, [log_files[0] + ".missing"], skip_missing=False)
 
 
+def test_line_order_holds_across_splits(spark, tmp_path):
+    path = tmp_path / "big.log"
+    path.write_text("".join(f"line {i}\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        lines = sources.scan_log_text(spark, [str(path)])
+        assert lines.rdd.getNumPartitions() > 3
+        assert lines.select("block_start").distinct().count() > 3
+        got = [r.value for r in lines.orderBy(*sources.LINE_ORDER).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"line {i}" for i in range(5000)]
+
+
 def test_bucket_is_the_file_name_up_to_its_first_dot(spark, log_files):
     records = sources.with_file_bucket(parse.parse_lines(sources.scan_log_text(spark, log_files)))
     assert {r[0] for r in records.select("source_bucket").collect()} == {"gateway", "payment"}
