@@ -7,14 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import mixing, quality, url_filter, warc
-from sessionlogs.stage import fresh_path
+from sessionlogs.llm import mixing, quality, token_output, url_filter, warc
+from sessionlogs.stage import fresh_path, materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def token_rows(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Writes the ids of ``docs`` and reads each document's place and checksum back."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    spark = docs.sparkSession
+    path = fresh_path(spark, "tokens")
+    token_output.write(docs, path, tokenizer)
+    # written, so that the files are decoded once
+    found = materialise(token_output.read(spark, path, with_ids=False), "token_rows")
+    return token_output.with_starts(found).select("doc_id", "start", "n_tokens", "ids_crc32", "file_no")
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document's ids are in the output, and their checksum."""
+    return token_rows(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives."""
     path = fresh_path(spark, "warc")
@@ -60,6 +79,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_output": op1_token_output,
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
