@@ -23,9 +23,9 @@ import numpy as np
 
 MAGIC = b"IDB1"
 #: Most lanes of a block, and least steps before another lane is opened.
-LANES, LEAST_STEPS = 2048, 128
+LANES, LEAST_STEPS = 4096, 128
 #: Largest block.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 22
 HASH_BITS = 18
 #: Sum of the odds in a mixing context.
 ODDS = 1 << 16
@@ -35,15 +35,23 @@ _HEADER = struct.Struct("<4sIIIII")
 _U = np.uint64
 
 
+#: Confidence after a hit (second row) or a miss (first).
+_SURE = np.array([[0, 0, 1, 1], [1, 2, 3, 3]]).ravel()
+
+
+def _revised(predicted: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Table entries after ``ids`` came: a prediction stays until its confidence is 0."""
+    return np.where(sure > 0, predicted, ids) * 4 + _SURE[sure + 4 * (predicted == ids)]
+
+
 class Models:
     """State that coder and decoder share, for ids below ``n_ids``."""
 
     def __init__(self, n_ids: int, lanes: int):
         self.n_ids = n_ids
-        self.follow2 = np.zeros(1 << HASH_BITS, np.int32)
-        self.sure2 = np.zeros(1 << HASH_BITS, np.int32)
-        self.follow1 = np.zeros(n_ids, np.int32)
-        self.sure1 = np.zeros(n_ids, np.int32)
+        # predicted id * 4 + confidence
+        self.follow2 = np.zeros(1 << HASH_BITS, np.int64)
+        self.follow1 = np.zeros(n_ids, np.int64)
         self.before1 = np.zeros(lanes, np.int32)
         self.before2 = np.zeros(lanes, np.int32)
         self.counts = np.ones(n_ids, np.int64)
@@ -63,17 +71,15 @@ class Models:
 
     def predict(self) -> None:
         self.slot = ((self.before2.astype(np.uint32) * np.uint32(2654435761)) ^ (self.before1.astype(np.uint32) * np.uint32(2246822519))) >> np.uint32(32 - HASH_BITS)
-        self.p2, self.c2 = self.follow2[self.slot], self.sure2[self.slot]
-        self.p1, self.c1 = self.follow1[self.before1], self.sure1[self.before1]
+        known2, known1 = self.follow2[self.slot], self.follow1[self.before1]
+        self.p2, self.c2 = known2 >> 2, known2 & 3
+        self.p1, self.c1 = known1 >> 2, known1 & 3
         self.context = 3 * (8 * self.c2 + 2 * self.c1 + (self.p1 == self.p2))
 
     def learn(self, ids: np.ndarray, choice: np.ndarray, missed: np.ndarray) -> None:
         """``choice``: 0, 1 or 2 for each lane; ``missed``: the ids that neither prediction foresaw."""
-        hit2, hit1 = self.p2 == ids, self.p1 == ids
-        self.follow2[self.slot] = np.where(self.c2 > 0, self.p2, ids)
-        self.sure2[self.slot] = np.where(hit2, np.minimum(self.c2 + 1, 3), self.c2 >> 1)
-        self.follow1[self.before1] = np.where(self.c1 > 0, self.p1, ids)
-        self.sure1[self.before1] = np.where(hit1, np.minimum(self.c1 + 1, 3), self.c1 >> 1)
+        self.follow2[self.slot] = _revised(self.p2, self.c2, ids)
+        self.follow1[self.before1] = _revised(self.p1, self.c1, ids)
         self.before2, self.before1 = self.before1, ids
         self.choices += np.bincount(self.context + choice, minlength=96)
         self.seen.append(missed)

@@ -26,7 +26,7 @@ from sessionlogs.llm import bytefiles, idcoder
 
 END_ID = 0
 #: Words whose ids a worker remembers; beyond, it starts anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
 _INDEX = struct.Struct("<4sIIII")
 INDEX_MAGIC = b"IDX1"
 #: id, whether the id is NULL (1), whether the document goes on in the next block (2); ids in this block
@@ -39,28 +39,28 @@ class Words:
     """Token ids of texts by the ids of their words.
 
     A byte-level tokenizer splits before a space that a word follows, whatever stands around it, so ``word``
-    and `` next`` are encoded apart and remembered. A text in which other white space touches a space is encoded as a whole.
+    and `` next`` are encoded apart and remembered. New words are encoded together and told apart by the bytes that
+    their ids stand for. A text in which other white space touches a space is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a byte-level token is written with a character per byte
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())])
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Places(self._number)
-        self.new: list[list[int]] = []
+        self.known = _Places(self._place)
+        self.new: list[str] = []
         self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _number(self, word: str) -> int:
+    def _place(self, word: str) -> int:
         """Place of the ids of a word after a space; -1 if it can't be split off."""
         if not word or word[0].isspace() or word[-1].isspace():
             return -1
-        self.new.append(self._ids(" " + word))
+        self.new.append(" " + word)
         return len(self.lengths) + len(self.new) - 1
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ class Words:
         if len(self.lengths) > MEMORY:
             self._forget()
         places: list[int] = []
-        pieces: list[list[int]] = []  # of this call: first words, whole texts; their places are -2 - their number
+        pieces: list[str] = []  # of this call: first words, whole texts; their places are -2 - their number
         begins, place = [], self.known.__getitem__
         for text in texts:
             first, *rest = text.split(" ")
@@ -78,11 +78,12 @@ class Words:
             begins.append(len(places))
             places.append(-2 - len(pieces))
             places += now
-            pieces.append(self._ids(first))
-        n_known = len(self.lengths) + len(self.new)
-        self.lengths, self.flat = self._grown(self.new)
-        self.new = []
-        lengths, flat = self._grown(pieces)
+            pieces.append(first)
+        self._remember()
+        encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        n_known = len(self.lengths)
+        lengths = np.concatenate([self.lengths, [len(e) for e in encoded]])
+        flat = np.concatenate([self.flat, *encoded])
         where = np.array(places, np.int64)
         where = np.where(where < 0, n_known - 2 - where, where)
         n, starts = lengths[where], np.cumsum(lengths) - lengths
@@ -90,10 +91,19 @@ class Words:
         ids = flat[np.repeat(starts[where] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         return np.insert(ids, np.cumsum(total), END_ID).astype(np.uint32), total + 1
 
-    def _grown(self, parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for p in parts for i in p), np.int32, int(lengths.sum()))
-        return np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+    def _remember(self) -> None:
+        if not self.new:
+            return
+        encoded = self.tokenizer.encode_batch_fast(["".join(self.new)], add_special_tokens=False)[0]
+        ids = np.array(encoded.ids, np.int32)
+        word_ends = np.cumsum([len(w.encode()) for w in self.new])
+        id_ends = np.cumsum(self.bytes_of[ids])
+        upto = np.searchsorted(id_ends, word_ends, "right")
+        if (id_ends[upto - 1] != word_ends).any():
+            raise ValueError("the tokenizer joins words: it isn't byte-level")
+        self.lengths = np.concatenate([self.lengths, np.diff(upto, prepend=0)])
+        self.flat = np.concatenate([self.flat, ids])
+        self.new = []
 
 
 class _Places(dict):
