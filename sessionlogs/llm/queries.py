@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import mixing, quality, token_output, url_filter, warc
+from sessionlogs.llm import mixing, quality, secret_scan, token_output, url_filter, warc
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -41,6 +41,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     out = quality.apply(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -81,6 +86,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op4_warc": op4_warc,
+    "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
