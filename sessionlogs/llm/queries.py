@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import mixing, quality, secret_scan, token_output, url_filter, warc
+from sessionlogs.llm import html_text, mixing, quality, secret_scan, token_output, url_filter, warc
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -56,6 +56,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_text.add_text(pages, html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 SITE_RULES = [
     url_filter.site_rule("allow", "com", "/"),
     url_filter.site_rule("block", "example.com", "/en/"),
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
 }
