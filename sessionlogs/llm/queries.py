@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import html_text, mixing, quality, secret_scan, token_output, url_filter, warc
+from sessionlogs.llm import html_text, mixing, quality, secret_scan, token_output, toxicity, url_filter, warc
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -34,6 +34,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rows(table(spark, sf_dir, "documents"))
 
 
+#: Texts from this score on count as toxic.
+TOXIC = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.add_score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "n_clauses")
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives."""
     path = fresh_path(spark, "warc")
@@ -92,6 +104,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_toxicity": op2_toxicity,
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
