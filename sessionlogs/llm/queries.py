@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import html_text, mixing, quality, secret_scan, token_output, toxicity, url_filter, warc
+from sessionlogs.llm import decontaminate, html_text, mixing, quality, secret_scan, token_output, toxicity, url_filter, warc
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -102,6 +102,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the test items found in it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.inline("hits")).select("doc_id", "item_id", "score", "start", "end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
@@ -111,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_text": op7_html_text,
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
