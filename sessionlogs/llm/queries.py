@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import decontaminate, html_text, mixing, quality, secret_scan, token_output, toxicity, url_filter, warc
+from sessionlogs.llm import decontaminate, html_text, mixing, near_dedup, quality, secret_scan, token_output, toxicity, url_filter, warc
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -46,6 +46,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted, "n_clauses")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near-duplicates of every document, by 2-word shingles."""
+    return near_dedup.groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record as read back from the archives."""
     path = fresh_path(spark, "warc")
@@ -112,6 +117,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_warc": op4_warc,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
