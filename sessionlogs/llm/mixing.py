@@ -10,8 +10,8 @@ Sums by range are prefix-summed in a small table, and rows are summed within the
 
 Defined cases: a NULL source is one more source, last in order; a NULL text has size 0; rows of size 0
 are kept by the order but take nothing. Equal ids, and whole rows that repeat, are told apart by their text and, where
-that is equal too, share a key and are interchangeable. Extra columns are kept. An empty table gives an empty result.
-A rerun gives the same rows: keys depend on ids, texts and the seed only.
+that is equal too, are interchangeable. Extra columns are kept. An empty table gives an empty result.
+A rerun gives the same rows: keys are 60 bits of the MD5 of id and seed (of the text for a NULL id).
 """
 
 from __future__ import annotations
@@ -71,17 +71,17 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MO
 
 
 def mix(
-    df: DataFrame, size: Column, source: str = "source", keys: Sequence[str] = ("doc_id", "text"), *,
+    df: DataFrame, size: Column, source: str = "source", doc_id: str = "doc_id", text: str = "text", *,
     weights: Sequence[float] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 42,
 ) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target``, ``start`` (size of the source before the row) and ``taken``.
 
-    A source's ``taken`` add up to its target rounded to a whole number.
+    A source's ``taken`` add up to its target rounded to a whole number. ``text`` only breaks ties; a hash of the text will do.
     """
-    key = F.xxhash64(*(F.col(k) for k in keys), F.lit(seed))
-    # the upper half of the hash orders; all of it and the ids break ties
+    named = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.col(text).cast("string")), F.lit(seed))
+    key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint")
     rows = df.withColumns({"size": size, "_key": key, "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit(""))})
-    part = F.shiftrightunsigned(F.col("_key"), 48)
+    part = F.shiftright(F.col("_key"), 44)
     fine = rows.groupBy(F.col(source).alias("source"), "_source", part.alias("_part")).agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     fine = materialise(fine, "mix_ranges")
     sources = fine.groupBy("source", "_source").agg(F.sum("_sum").alias("source_size"), F.sum("_n").alias("_n"))
@@ -96,9 +96,9 @@ def mix(
     plan = materialise(plan.join(ranges, "_source"), "mix_plan")
     bits_of = plan.select("_source", "_bits").distinct()
     # a row per source, and a row per source and range: Spark broadcasts them while they are small
-    rows = rows.join(bits_of, "_source").withColumn("_range", F.shiftrightunsigned(F.col("_key"), 48))
+    rows = rows.join(bits_of, "_source").withColumn("_range", F.shiftright(F.col("_key"), 44))
     rows = rows.withColumn("_range", F.expr("shiftright(_range, 16 - _bits)")).drop("_bits")
-    within = Window.partitionBy("_source", "_range").orderBy(F.shiftrightunsigned(F.col("_key"), 1), "_key", *(F.col(k) for k in keys))
+    within = Window.partitionBy("_source", "_range").orderBy("_key", doc_id, text)
     rows = rows.withColumn("_sum", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.join(plan.drop("_bits"), ["_source", "_range"])
     budget = F.round("target").cast("bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlogs.llm import decontaminate, html_text, mixing, near_dedup, quality, secret_scan, token_output, toxicity, url_filter, warc
+from sessionlogs.llm.oracle import ORACLES as ORACLES
 from sessionlogs.stage import fresh_path, materialise
 
 
@@ -103,7 +104,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources takes of every document."""
     docs = table(spark, sf_dir, "documents")
     docs = docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash"))
-    out = mixing.mix(docs, F.col("words"), keys=("doc_id", "text_hash"))
+    out = mixing.mix(docs, F.col("words"), text="text_hash")
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -126,5 +127,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
 }
-
-ORACLES: dict[str, str] = {}
