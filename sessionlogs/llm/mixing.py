@@ -10,7 +10,8 @@ Sums by range are prefix-summed in a small table, and rows are summed within the
 
 Defined cases: a NULL source is one more source, last in order; a NULL text has size 0; rows of size 0
 are kept by the order but take nothing. Equal ids, and whole rows that repeat, are told apart by their text and, where
-that is equal too, are interchangeable. Extra columns are kept. An empty table gives an empty result.
+that is equal too, are interchangeable. Extra columns are kept; of clashing names the computed
+one stays. An empty table gives an empty result.
 A rerun gives the same rows: keys are 60 bits of the MD5 of id and seed (of the text for a NULL id).
 """
 
@@ -80,7 +81,7 @@ def mix(
     """
     named = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.col(text).cast("string")), F.lit(seed))
     key = F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("bigint")
-    rows = df.withColumns({"size": size, "_key": key, "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit(""))})
+    rows = df.drop("source_size", "target", "start", "taken").withColumns({"size": size, "_key": key, "_source": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit(""))})
     part = F.shiftright(F.col("_key"), 44)
     fine = rows.groupBy(F.col(source).alias("source"), "_source", part.alias("_part")).agg(F.sum("size").alias("_sum"), F.count(F.lit(1)).alias("_n"))
     fine = materialise(fine, "mix_ranges")
