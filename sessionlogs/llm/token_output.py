@@ -26,7 +26,7 @@ from sessionlogs.llm import bytefiles, idcoder
 
 END_ID = 0
 #: Words whose ids a worker remembers; beyond, it starts anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
 _INDEX = struct.Struct("<4sIIII")
 INDEX_MAGIC = b"IDX1"
 #: id, whether the id is NULL (1), whether the document goes on in the next block (2); ids in this block

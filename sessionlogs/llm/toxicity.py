@@ -41,7 +41,8 @@ LEAST_G, LEAST_RATIO = 24.0, 4.0
 #: Texts with it that a longer beginning needs to overrule a shorter one.
 OVERRULES = 6
 PREFIXES = range(4, 9)
-MEMORY = 1_000_000
+#: Words remembered, and features counted, before a worker starts anew.
+MEMORY = 200_000
 
 TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?|[.!?;\n\"“”«»]")
 WORD, END, QUOTE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(8)
@@ -110,6 +111,9 @@ class Machine:
         return found
 
 
+_PLAIN = (WORD, 0.0)
+
+
 class Lexicon(dict):
     """Class and weight of a word, remembered: from the fixed classes, or the entry for it or its longest beginning that has one."""
 
@@ -123,7 +127,7 @@ class Lexicon(dict):
         found = self.fixed.get(word)
         if found is None:
             weight = next((self.entries[f] for f in features(word) if f in self.entries), 0.0)
-            found = (INSULT, weight) if weight else (WORD, 0.0)
+            found = (INSULT, weight) if weight else _PLAIN
         self[word] = found
         return found
 
