@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from sessionlogs.stage import materialise
 
 #: Rows aimed at in a range of keys.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often.
 MOST_EPOCHS = 3
