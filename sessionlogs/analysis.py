@@ -31,7 +31,7 @@ class Analysis:
         return chains.error_pool(self.positions, self.nodes)
 
     def log_content(self) -> DataFrame:
-        return sessions.log_content(self.positions)
+        return sessions.log_content(self.positions, by_input_order=self.by_input_order)
 
     def correlations(self) -> DataFrame:
         return chains.correlation_records(self.nodes, self.pool)

@@ -21,9 +21,16 @@ def strip_code_fence(text: Column) -> Column:
 
 
 def parsed_replies(replies: DataFrame, reply: str = "reply") -> DataFrame:
-    """Replies with ``body`` (fence removed), its JSON as a variant (``json``) and ``parsed_ok``."""
+    """Replies with ``body`` (fence removed), its JSON as a variant (``json``) and ``parsed_ok``.
+
+    The parser stops after the first value, so a body counts only if it is one value within a list and within
+    an object too, which no trailing text can be. NaN and repeated keys make a body invalid.
+    """
     body = replies.withColumn("body", strip_code_fence(F.col(reply)))
-    parsed = evaluated_once(body, "json", F.try_parse_json("body"))
+    alone = F.try_parse_json(F.concat(F.lit("["), "body", F.lit("]"))).isNotNull() & F.try_parse_json(
+        F.concat(F.lit('{"v":'), "body", F.lit("}"))
+    ).isNotNull()
+    parsed = evaluated_once(body, "json", F.when(alone, F.try_parse_json("body")))
     return parsed.withColumn("parsed_ok", F.col("json").isNotNull())
 
 

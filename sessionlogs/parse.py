@@ -57,7 +57,6 @@ DEFAULT_ROUTE = "tibco"
 # --- end of fixed values ---
 
 SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
-TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
 def contains_any(text: Column, phrases: list[str]) -> Column:
@@ -75,17 +74,26 @@ def keyed_value(message: Column, key: str) -> Column:
 
 
 def timestamp_from(text: Column) -> Column:
-    """Second-resolution time, NULL if the text is not one. Single digits are accepted."""
+    """Second-resolution time, NULL if the text is not one. Single digits are accepted.
+
+    The text is a time in UTC, whatever the time zone of the session.
+    """
     loose = rf"(?U)^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}[{SPACE}]+[0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}\z"
     clean = F.regexp_replace(text, rf"(?U)[{SPACE}]+", " ")
     return F.coalesce(
-        F.when(F.length(text) == 19, F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss"))),
-        F.when(text.rlike(loose), F.try_to_timestamp(clean, F.lit("yyyy-M-d H:m:s"))),
+        F.when(F.length(text) == 19, F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))),
+        F.when(text.rlike(loose), F.try_to_timestamp(F.concat(clean, F.lit("Z")), F.lit("yyyy-M-d H:m:sX"))),
     )
 
 
+def utc_clock(ts: Column) -> Column:
+    """The time as a clock in UTC shows it, in whole seconds and without a zone."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return epoch + F.make_dt_interval(secs=F.unix_seconds(ts))
+
+
 def iso_time(ts: Column) -> Column:
-    return F.date_format(ts, TIME_FORMAT)
+    return F.concat(F.translate(utc_clock(ts).cast("string"), " ", "T"), F.lit("Z"))
 
 
 def session_from_call_id(call_id: Column) -> Column:
@@ -212,10 +220,11 @@ def split_lines(lines: DataFrame) -> DataFrame:
     """Raw lines ``[time] [level] service: message`` to their parts; other lines are dropped.
 
     White space around the line is ignored. A part cannot contain a newline, so that
-    separates the parts.
+    separates the parts. A value of several lines, which a table may have, counts by its first one.
     """
     order = [c for c in lines.columns if c != "value"]
-    parts = F.split(F.regexp_replace("value", LINE, "$1\n$2\n$3\n$4"), "\n", 5)
+    first = F.substring_index(F.regexp_replace("value", rf"^[{SPACE}]+", ""), "\n", 1)
+    parts = F.split(F.regexp_replace(first, LINE, "$1\n$2\n$3\n$4"), "\n", 5)
     return (
         evaluated_once(lines, "p", parts)
         .where(F.size("p") >= 4)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
@@ -175,8 +176,11 @@ def topk_similar(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> D
 
     ``chunks`` has ``vec_id`` (BIGINT) and ``embedding``, ``queries`` has ``query_id`` (BIGINT)
     and ``embedding``. Every chunk is scored where it is stored, by one matrix
-    product per Arrow batch; a batch passes on only its k best per query.
+    product per Arrow batch; a batch passes on only its k best per query. Queries without a vector
+    get no rows; chunks whose vector is NULL, has NULLs or another length than the queries' are left out, see
+    ``unusable_vectors``.
     """
+    queries = queries.where(F.col("embedding").isNotNull())
     schema = "query_id bigint, vec_id bigint, score double"
     out = None
     for batch in _batches(queries):
@@ -187,6 +191,11 @@ def topk_similar(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> D
 
         def score(it: Iterator[pa.RecordBatch], query_ids=query_ids, matrix=matrix):
             for b in it:
+                vectors = b.column("embedding")
+                usable = pc.equal(pc.list_value_length(vectors), len(matrix)).fill_null(False).to_numpy(zero_copy_only=False)
+                holed = pc.list_parent_indices(vectors).filter(vectors.flatten().is_null()).to_numpy()
+                usable[holed] = False
+                b = b.filter(pa.array(usable))
                 if b.num_rows == 0:
                     continue
                 flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
@@ -207,6 +216,12 @@ def topk_similar(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> D
     )
 
 
+def unusable_vectors(chunks: DataFrame, size: int) -> DataFrame:
+    """Chunks that ``topk_similar`` leaves out for queries of ``size`` numbers."""
+    v = F.col("embedding")
+    return chunks.where(v.isNull() | (F.size(v) != size) | F.exists(v, lambda x: x.isNull()))
+
+
 def text_model(docs: DataFrame, text: str = "content", size: int = VECTOR_SIZE) -> PipelineModel:
     """Hashed TF-IDF weights learnt from ``docs``."""
     stages = [

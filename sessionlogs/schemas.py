@@ -28,6 +28,8 @@ INDEXED_DOC = T.StructType(
         T.StructField("source_file", T.StringType()),
         T.StructField("block_start", T.LongType()),
         T.StructField("line_no", T.LongType()),
+        # the text of a time that could not be parsed
+        T.StructField("ts_raw", T.StringType()),
         # partition column, from the folder names
         T.StructField("event_date", T.DateType()),
     ]

@@ -69,12 +69,15 @@ def dedup_counts(positions: DataFrame) -> DataFrame:
     )
 
 
-def log_content(positions: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
-    """Messages of each session and bucket, one per line, in order.
+def log_content(positions: DataFrame, size: int = SEGMENT_ROWS, by_input_order: bool = False) -> DataFrame:
+    """Messages of each session and bucket, one per line, by time or by their order in the input.
 
     Up to ``size`` messages are one text (segment 0); longer ones continue in further segments.
     """
+    keys = ["session_id", "source_bucket"]
+    if by_input_order:
+        positions = sequence(positions.drop("seq"), [*keys, *LINE_ORDER], "input_order")
     lists = segments(
-        positions, ["session_id", "source_bucket"], "seq", F.col("message"), "messages", size
+        positions, keys, "seq", F.col("message"), "messages", size
     )
     return lists.withColumn("content", F.array_join("messages", "\n")).drop("messages")

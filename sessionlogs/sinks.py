@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlogs.parse import iso_time, route
+from sessionlogs.parse import iso_time, route, utc_clock
 from sessionlogs.sources import LINE_ORDER
 
 
@@ -30,7 +30,8 @@ def to_indexed(records: DataFrame, *more: str) -> DataFrame:
         "severity",
         "metrics",
         *LINE_ORDER,
-        F.to_date("ts").alias("event_date"),
+        F.when(F.col("ts").isNull(), F.col("ts_raw")).alias("ts_raw"),
+        utc_clock(F.col("ts")).cast("date").alias("event_date"),
     )
 
 

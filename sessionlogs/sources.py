@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -38,7 +38,7 @@ def scan_log_text(spark: SparkSession, paths: Sequence[str], skip_missing: bool
         df.select(
             F.lit(0).alias("source_idx"),
             F.lit(i).alias("file_idx"),
-            F.col("_metadata.file_name").alias("source_file"),
+            F.col("_metadata.file_path").alias("source_file"),
             F.col("_metadata.file_block_start").alias("block_start"),
             F.monotonically_increasing_id().alias("line_no"),
             "value",
@@ -69,12 +69,15 @@ def time_range(
     end: datetime | None = None,
     time: Column | None = None,
 ) -> DataFrame:
-    """Inclusive range; without an end it spans two minutes, without a start it is not applied."""
+    """Inclusive range; without an end it spans two minutes, without a start it is not applied.
+
+    Times without a zone are in UTC.
+    """
     if end is not None and start is None:
         raise ValueError("an end time needs a start time")
     if start is None:
         return records
-    end = end or start + DEFAULT_SPAN
+    start, end = (t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC) for t in (start, end or start + DEFAULT_SPAN))
     time = F.col("ts") if time is None else time
     if "event_date" in records.columns:
         # whole days first, by partition; documents stored without days have none
@@ -113,7 +116,7 @@ def from_indexed(docs: DataFrame) -> DataFrame:
             F.when(F.col("is_login").isNull(), parse.session_id(message))
             .otherwise(F.col("session_id"))
             .alias("session_id"),
-            F.lit(None).cast("string").alias("ts_raw"),
+            "ts_raw",
             ts.alias("ts"),
             ts.isNull().alias("ts_invalid"),
             F.col("`log.level`").alias("level"),

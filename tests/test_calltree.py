@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from sessionlogs import calltree, chains, parse, sessions, skew
 from sessionlogs.analysis import Analysis
-from tests import fold
 
 SCHEMA = "source_idx int, file_idx int, source_file string, block_start bigint, line_no bigint, value string"
 
@@ -49,43 +48,83 @@ def random_lines(rng, n_sessions, several_parents):
     return [line(*x) for x in lines]
 
 
-def expected(lines):
-    """Sessions by the brute-force fold over the deduplicated lines in time order."""
-    seen, by_session = set(), {}
-    for text in sorted(lines, key=lambda v: v[:21]):
-        level, message = text[23:].split("] svc: ", 1)
-        f = fold.fields(message, level)
-        key = (fold.infer_session(f), text[:21], message)
-        if key[0] and key not in seen:
-            seen.add(key)
-            by_session.setdefault(key[0], []).append({**f, "message": message})
-    return by_session
+def in_order(spark, a):
+    """The analysed records of each session, in order."""
+    out = {}
+    for r in a.positions.orderBy("seq").collect():
+        out.setdefault(r.session_id, []).append(r)
+    return out
+
+
+def tree_faults(records, tree):
+    """What is wrong with a finished tree {urc: (parent, level)}, by the definition of one.
+
+    The root is the first login with an id, there from the start. A request qualifies if its parent is a node attached before
+    it and above level 4. Every other node has the parent of the first request for its id that qualifies; ids without such a request are no nodes.
+    """
+    roots = [r.urc for r in records if r.is_login and r.urc]
+    if not roots:
+        return ["nodes without a root"] if tree else []
+    if tree.get(roots[0]) != (None, 0):
+        return ["the root"]
+    requests = [(i, r.urc, r.uid) for i, r in enumerate(records) if r.is_request and r.urc]
+    attached = {roots[0]: -1}
+    for urc in sorted(tree, key=lambda u: tree[u][1]):
+        if urc != roots[0]:
+            claimed = [i for i, u, p in requests if u == urc and p == tree[urc][0] and i > attached.get(p, len(records))]
+            attached[urc] = min(claimed, default=len(records))
+    faults = []
+    for urc in {u for _, u, _ in requests} | set(tree):
+        first = next(((i, p) for i, u, p in requests if u == urc and p in tree and attached[p] < i and tree[p][1] < 4), None)
+        if urc != roots[0] and tree.get(urc) != (first and (first[1], tree[first[1]][1] + 1)):
+            faults.append((urc, tree.get(urc), first))
+    return faults
 
 
 @pytest.mark.parametrize("seed,several_parents", [(1, False), (2, True), (3, True)])
-def test_tree_and_chain_equal_sequential_fold(spark, seed, several_parents):
-    lines = random_lines(random.Random(seed), 120, several_parents)
-    a = analysis_of(spark, lines)
-    want = expected(lines)
-    trees = {s: t for s, rows in want.items() if (t := fold.session_tree(rows)) is not None}
-
-    got = {(r.session_id, r.urc): (r.parent_urc, r.level) for r in a.nodes.collect()}
-    assert got == {(s, u): (n["parent"], n["level"]) for s, t in trees.items() for u, n in t.items()}
-
-    records = {r.session_id: r for r in a.correlations().collect()}
-    assert set(records) == set(trees)
-    for s, tree in trees.items():
-        r, c = records[s], fold.chain(tree)
-        calls = [(x.urc, x.level, x.children) for x in r.api_calls]
-        kids = {u: [v for v, n in tree.items() if n["parent"] == u] for u in tree}
-        assert calls == [(u, n["level"], kids[u]) for u, n in tree.items()]
-        assert r.metrics.total_calls == len(tree)
-        if c is None:
-            assert r.error_chains == []
-        else:
-            found = r.error_chains[0]
-            assert ([e.message for e in found.errors], found.impact_level) == c
-            assert found.total_errors == len(c[0]) == sum(found.severity_breakdown)
+def test_trees_fit_their_definition(spark, seed, several_parents):
+    a = analysis_of(spark, random_lines(random.Random(seed), 120, several_parents))
+    trees = {}
+    for r in a.nodes.collect():
+        trees.setdefault(r.session_id, {})[r.urc] = (r.parent_urc, r.level)
+    sessions_ = in_order(spark, a)
+    assert len(trees) > 80 and max(level for t in trees.values() for _, level in t.values()) >= 3
+    for s, records in sessions_.items():
+        assert tree_faults(records, trees.get(s, {})) == []
+    for r in a.correlations().collect():
+        calls = {c.urc: c for c in r.api_calls}
+        assert {u: c.level for u, c in calls.items()} == {u: level for u, (_, level) in trees[r.session_id].items()}
+        assert all(sorted(c.children) == sorted(v for v, (p, _) in trees[r.session_id].items() if p == u) for u, c in calls.items())
+        assert r.metrics.total_calls == len(calls)
+
+
+def test_chains_of_small_sessions(spark):
+    """Worked out by hand: errors by node in order of attachment, the last response's error after the node's own."""
+    u = [f"urc-a-b-s-{i}" for i in range(4)]
+    lines = [
+        line(0, "INFO", f"User logged in session_id=s URC={u[0]}"),
+        line(1, "INFO", f"Request received, URC={u[1]}, UID={u[0]}"),
+        line(2, "INFO", f"Request received, URC={u[2]}, UID={u[1]}"),
+        line(3, "ERROR", f"second node bad, URC={u[2]}"),
+        line(4, "WARN", f"first node status_code=422, URC={u[1]}"),
+        line(5, "INFO", f"first node failed quietly, URC={u[1]}"),
+        line(6, "ERROR", f"unknown call broken, URC={u[3]}"),
+        line(7, "ERROR", f"Response sent, URC={u[2]}, UID={u[1]}, an early answer"),
+        line(8, "WARN", f"Response sent, URC={u[2]}, UID={u[1]}, upstream service unavailable"),
+        line(9, "ERROR", f"root hurt, UID={u[0]}"),
+    ]
+    (r,) = analysis_of(spark, lines).correlations().collect()
+    (found,) = r.error_chains
+    assert [e.message.split(",")[0].split(" URC")[0] for e in found.errors] == ["root hurt", "first node status_code=422", "Response sent", "second node bad"]
+    assert found.errors[2].message.endswith("upstream service unavailable")
+    assert (found.impact_level, found.total_errors, sum(found.severity_breakdown)) == ("CRITICAL", 4, 4)
+
+
+@pytest.mark.parametrize("message,impact", [("fine", "LOW"), ("status_code=422", "MEDIUM"), ("gateway timeout", "HIGH"), ("upstream service unavailable", "CRITICAL")])
+def test_impacts(spark, message, impact):
+    lines = [line(0, "INFO", "User logged in session_id=s URC=urc-a-b-s-0"), line(1, "WARN", f"{message}, URC=urc-a-b-s-0"), line(2, "WARN", "fine too, URC=urc-a-b-s-0")]
+    (r,) = analysis_of(spark, lines).correlations().collect()
+    assert r.error_chains[0].impact_level == impact
 
 
 def test_long_dependency_chain_settles(spark):
@@ -96,10 +135,9 @@ def test_long_dependency_chain_settles(spark):
         # first choice: below the previous one (fails if that is at level 4), second: below level 3
         lines.append(line(i, "INFO", f"Request received, URC=urc-a-b-s-{i}, UID=urc-a-b-s-{i - 1}"))
         lines.append(line(i, "INFO", f"Request received, URC=urc-a-b-s-{i}, UID=urc-a-b-s-{3 if i % 2 else 2}"))
-    rows = expected(lines)["s"]
-    want = {u: (n["parent"], n["level"]) for u, n in fold.session_tree(rows).items()}
-    got = {r.urc: (r.parent_urc, r.level) for r in analysis_of(spark, lines).nodes.collect()}
-    assert got == want
+    a = analysis_of(spark, lines)
+    tree = {r.urc: (r.parent_urc, r.level) for r in a.nodes.collect()}
+    assert len(tree) == 24 and tree_faults(in_order(spark, a)["s"], tree) == []
 
 
 def test_hot_parents_are_salted_without_changing_results(spark):

@@ -105,6 +105,31 @@ def test_files_and_index_give_the_same_analysis(spark, log_files, tmp_path):
         analyse(spark)
 
 
+def test_bad_times_and_input_order_survive(spark, tmp_path):
+    path = tmp_path / "a.log"
+    path.write_text("\n".join([
+        "[2024-03-20 10:15:03] [INFO] s: logged in session_id=s1 URC=urc-root-s1",
+        "[2024-03-20 10:15:09] [INFO] s: later session_id=s1",
+        "[bad one] [INFO] s: same session_id=s1",
+        "[2024-03-20 10:15:05] [INFO] s: earlier session_id=s1",
+        "[bad two] [INFO] s: same session_id=s1",
+    ]))
+    files = analyse(spark, log_files=[str(path)])
+    sinks.write_index(parse.parse_lines(sources.scan_log_text(spark, [str(path)])), str(tmp_path / "index"))
+    index = analyse(spark, index=str(tmp_path / "index"))
+    assert files.positions.count() == index.positions.count() == 5
+    words = [[m.split()[0] for m in a.log_content().first().content.split("\n")] for a in (files, index)]
+    assert words == [["logged", "later", "same", "earlier", "same"], ["same", "same", "logged", "earlier", "later"]]
+
+
+def test_same_names_in_two_folders_keep_their_order(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / d).mkdir()
+        (tmp_path / d / "app.log").write_text("".join(f"{d}{i}\n" for i in range(3)))
+    rows = sources.scan_log_text(spark, [str(tmp_path / "*" / "app.log")]).orderBy(*sources.LINE_ORDER).collect()
+    assert [r.value for r in rows] == ["a0", "a1", "a2", "b0", "b1", "b2"]
+
+
 def test_time_range(spark, log_files):
     records = parse.parse_lines(sources.scan_log_text(spark, log_files))
     start = datetime(2024, 3, 20, 10, 15, 1)

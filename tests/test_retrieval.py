@@ -128,3 +128,12 @@ def test_documentation_context_has_all_sections(spark):
     assert {(x.section, x.n) for x in texts.groupBy("section").agg(F.count("*").alias("n")).collect()} == {
         ("error_patterns", 1), ("recommendations", 3), ("best_practices", 3)
     }
+
+
+def test_unusable_vectors_are_left_out(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0]), (4, [0.0, None]), (5, [0.5, 0.5]), (6, [])]
+    chunks = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 0.0]), (8, None)], "query_id bigint, embedding array<double>")
+    got = [(x.query_id, x.rank, x.vec_id) for x in r.topk_similar(chunks, queries).orderBy("rank").collect()]
+    assert got == [(7, 1, 1), (7, 2, 5)]
+    assert {x.vec_id for x in r.unusable_vectors(chunks, 2).collect()} == {2, 3, 4, 6}

@@ -16,15 +16,13 @@ GOOD = {
 
 
 @pytest.mark.parametrize(
-    "text",
-    ["```json\n{}\n```", "```\n{}\n```", "{}", "```", "``````", "```json\n{}", "```\njson\n1\n```", "```x\na\nb\n```", "a\n```", "", "```\n```"],
+    "text,want",
+    [
+        ("```json\n{}\n```", "{}"), ("```\n{}\n```", "{}"), ("{}", "{}"), ("```", ""), ("``````", ""), ("```json\n{}", "```json\n{}"),
+        ("```\njson\n1\n```", "1"), ("```x\na\nb\n```", "a\nb"), ("a\n```", "a\n```"), ("", ""), ("```\n```", ""),
+    ],
 )
-def test_code_fence(spark, text):
-    want = text
-    if text.startswith("```") and text.endswith("```"):
-        want = "\n".join(text.split("\n")[1:-1])
-        if want.startswith("json\n"):
-            want = want[5:]
+def test_code_fence(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(modeljson.strip_code_fence(F.col("t"))).first()[0] == want
 
@@ -57,6 +55,19 @@ def test_analyses_are_checked(spark):
     assert {r.id for r in modeljson.rejected(replies).collect()} == {"cut", "none"}
 
 
+@pytest.mark.parametrize(
+    "body,ok",
+    [
+        ('{"a": 1}', True), (' {"a": [1, 2]} ', True), ("[1]", True), ("null", True), ('"x"', True),
+        ('{"a": 1} xyz', False), ('{"a": 1}\n```', False), ('{"a": 1}, {"b": 2}', False), ('1, "b": 2', False), ("1], [2", False), ("1}", False),
+        ("", False), ("{", False), ('{"a": NaN}', False), ('{"a": 1, "a": 2}', False),
+    ],
+)
+def test_only_whole_bodies_parse(spark, body, ok):
+    df = spark.createDataFrame([(body,)], "reply string")
+    assert modeljson.parsed_replies(df).first().parsed_ok is ok
+
+
 def test_recommendations(spark):
     body = {"recommendations": [{"recommendation_type": "t", "recommendation_description": "d", "action_steps": ["a"]}]}
     replies = spark.createDataFrame([(1, json.dumps(body)), (2, "{")], "id int, reply string")
