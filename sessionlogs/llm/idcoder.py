@@ -33,10 +33,12 @@ ODDS = 1 << 16
 STEP, LIMIT = 32, 1 << 22
 _HEADER = struct.Struct("<4sIIIII")
 _U = np.uint64
+_THREE = np.array([0, 3], np.int32)
+_MISS = np.array([[2, 1], [0, 0]], np.int32).ravel()
 
 
 #: Confidence after a hit (second row) or a miss (first).
-_SURE = np.array([[0, 0, 1, 1], [1, 2, 3, 3]]).ravel()
+_SURE = np.array([[0, 0, 1, 1], [1, 2, 3, 3]], np.int32).ravel()
 
 
 def _revised(predicted: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -50,8 +52,8 @@ class Models:
     def __init__(self, n_ids: int, lanes: int):
         self.n_ids = n_ids
         # predicted id * 4 + confidence
-        self.follow2 = np.zeros(1 << HASH_BITS, np.int64)
-        self.follow1 = np.zeros(n_ids, np.int64)
+        self.follow2 = np.zeros(1 << HASH_BITS, np.int32)
+        self.follow1 = np.zeros(n_ids, np.int32)
         self.before1 = np.zeros(lanes, np.int32)
         self.before2 = np.zeros(lanes, np.int32)
         self.counts = np.ones(n_ids, np.int64)
@@ -74,7 +76,7 @@ class Models:
         known2, known1 = self.follow2[self.slot], self.follow1[self.before1]
         self.p2, self.c2 = known2 >> 2, known2 & 3
         self.p1, self.c1 = known1 >> 2, known1 & 3
-        self.context = 3 * (8 * self.c2 + 2 * self.c1 + (self.p1 == self.p2))
+        self.context = 24 * self.c2 + 6 * self.c1 + _THREE[(self.p1 == self.p2).view(np.int8)]
 
     def learn(self, ids: np.ndarray, choice: np.ndarray, missed: np.ndarray) -> None:
         """``choice``: 0, 1 or 2 for each lane; ``missed``: the ids that neither prediction foresaw."""
@@ -188,7 +190,7 @@ class _Decoder:
 
 
 def encode(ids: np.ndarray) -> bytes:
-    """A block of at most ``BLOCK_IDS`` ids below 2**31."""
+    """A block of at most ``BLOCK_IDS`` ids below 2**29."""
     n = len(ids)
     if n > BLOCK_IDS:
         raise ValueError("too many ids for a block")
@@ -199,7 +201,7 @@ def encode(ids: np.ndarray) -> bytes:
         models, coder = Models(n_ids, steps.shape[1]), _Encoder(steps.shape[1], steps.shape[0])
         for now in steps:
             models.predict()
-            choice = np.where(models.p2 == now, 0, np.where(models.p1 == now, 1, 2))
+            choice = _MISS[2 * (models.p2 == now).view(np.int8) + (models.p1 == now).view(np.int8)]
             key = models.context + choice
             coder.all(models.starts[key], models.shares[key])
             lanes = np.flatnonzero(choice == 2)
@@ -240,7 +242,7 @@ def decode(data: memoryview | bytes) -> np.ndarray:
         models.predict()
         value = coder.value_all()
         first, second = models.shares[models.context], models.starts[models.context + 2]
-        choice = (value >= first).astype(np.int64) + (value >= second)
+        choice = (value >= first).view(np.int8) + (value >= second).view(np.int8)
         key = models.context + choice
         coder.take_all(models.starts[key], models.shares[key])
         now = np.where(choice == 0, models.p2, models.p1)

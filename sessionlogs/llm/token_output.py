@@ -26,7 +26,9 @@ from sessionlogs.llm import bytefiles, idcoder
 
 END_ID = 0
 #: Words whose ids a worker remembers; beyond, it starts anew.
-MEMORY = 500_000
+MEMORY = 800_000
+#: Stands for a text's first word.
+_FIRST = ""
 _INDEX = struct.Struct("<4sIIII")
 INDEX_MAGIC = b"IDX1"
 #: id, whether the id is NULL (1), whether the document goes on in the next block (2); ids in this block
@@ -52,66 +54,73 @@ class Words:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Places(self._place)
-        self.new: list[str] = []
+        self.known = _Places()
         self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _place(self, word: str) -> int:
-        """Place of the ids of a word after a space; -1 if it can't be split off."""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return -1
-        self.new.append(" " + word)
-        return len(self.lengths) + len(self.new) - 1
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's ending with END_ID, and how many each text has."""
         if len(self.lengths) > MEMORY:
             self._forget()
-        places: list[int] = []
-        pieces: list[str] = []  # of this call: first words, whole texts; their places are -2 - their number
-        begins, place = [], self.known.__getitem__
-        for text in texts:
-            first, *rest = text.split(" ")
-            now = list(map(place, rest))
-            if (rest and (not first or first[-1].isspace())) or -1 in now:
-                first, now = text, []
-            begins.append(len(places))
-            places.append(-2 - len(pieces))
-            places += now
+        # of each text its first word or all of it, whose place is -2 - its number, and then its words
+        pieces: list[str] = []
+        places: list[np.ndarray] = []
+        place = self.known.__getitem__
+        for number, text in enumerate(texts):
+            split = text.split(" ")
+            first = split[0]
+            split[0] = _FIRST
+            now = np.fromiter(map(place, split), np.int32, len(split))
+            if (len(split) > 1 and first.rstrip() != first) or (len(split) > 1 and (not first or now[1:].min() < 0)):
+                first, now = text, now[:1]
+            now[0] = -2 - number
             pieces.append(first)
+            places.append(now)
+        begins = np.cumsum([0, *map(len, places[:-1])])
         self._remember()
         encoded = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n_known = len(self.lengths)
         lengths = np.concatenate([self.lengths, [len(e) for e in encoded]])
         flat = np.concatenate([self.flat, *encoded])
-        where = np.array(places, np.int64)
+        where = np.concatenate(places)
         where = np.where(where < 0, n_known - 2 - where, where)
         n, starts = lengths[where], np.cumsum(lengths) - lengths
         total = np.add.reduceat(n, begins)
-        ids = flat[np.repeat(starts[where] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-        return np.insert(ids, np.cumsum(total), END_ID).astype(np.uint32), total + 1
+        out = np.full(int(n.sum()) + len(texts), END_ID, np.uint32)
+        held = np.ones(len(out), bool)
+        held[np.cumsum(total + 1) - 1] = False
+        out[held] = flat[np.repeat((starts[where] - np.cumsum(n) + n).astype(np.int32), n) + np.arange(int(n.sum()), dtype=np.int32)]
+        return out, total + 1
 
     def _remember(self) -> None:
-        if not self.new:
+        new, self.known.new = self.known.new, []
+        if not new:
             return
-        encoded = self.tokenizer.encode_batch_fast(["".join(self.new)], add_special_tokens=False)[0]
+        encoded = self.tokenizer.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0]
         ids = np.array(encoded.ids, np.int32)
-        word_ends = np.cumsum([len(w.encode()) for w in self.new])
+        word_ends = np.cumsum([1 + len(w.encode()) for w in new])
         id_ends = np.cumsum(self.bytes_of[ids])
         upto = np.searchsorted(id_ends, word_ends, "right")
         if (id_ends[upto - 1] != word_ends).any():
             raise ValueError("the tokenizer joins words: it isn't byte-level")
         self.lengths = np.concatenate([self.lengths, np.diff(upto, prepend=0)])
         self.flat = np.concatenate([self.flat, ids])
-        self.new = []
 
 
 class _Places(dict):
-    def __init__(self, number: Callable[[str], int]):
-        self.number = number
+    """Places of the ids of words after a space, in order of appearance; -1 for what can't be split off."""
+
+    def __init__(self):
+        super().__init__({_FIRST: -1})
+        self.new: list[str] = []
+        self.size = 0
 
     def __missing__(self, word: str) -> int:
-        self[word] = place = self.number(word)
+        if word.strip() != word:
+            self[word] = -1
+            return -1
+        self.new.append(word)
+        self[word] = place = self.size
+        self.size += 1
         return place
 
 
