@@ -40,16 +40,21 @@ def _call_id(n: Column, sid: Column) -> Column:
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One login per user, then a request and a response per event, some with extra lines."""
+    """One login per user, then a request and a response per event, some with extra lines.
+
+    Users differ: some have no login, some no errors above INFO, some only mild ones; some times are no times.
+    """
     n, kind = F.col("n"), F.col("event_type")
     sid = F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 6, "0"))
+    calm, mild, login = (F.col("user_id") % 5 == 3), (F.col("user_id") % 5 == 4), (F.col("user_id") % 11 != 5)
     level = (
-        F.when(kind == "error", "ERROR")
+        F.when(calm, "INFO")
+        .when(kind == "error", "ERROR")
         .when((kind == "signup") & (n % 5 == 0), "WARN")
         .otherwise("INFO")
     )
-    detail = F.element_at(F.array(*map(F.lit, DETAILS)), (n % 8 + 1).cast("int"))
-    code = F.when(
+    detail = F.when(mild, DETAILS[2]).otherwise(F.element_at(F.array(*map(F.lit, DETAILS)), (n % 8 + 1).cast("int")))
+    code = F.when((kind == "error") & mild, 422).when(
         kind == "error", F.element_at(F.array(*map(F.lit, STATUS_CODES)), (n % 5 + 1).cast("int"))
     ).otherwise(200)
     late = (n % 11 == 0) & (n > 1)
@@ -63,7 +68,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         level.alias("lvl"),
         detail.alias("det"),
         code.cast("string").alias("code"),
-        F.substring(when.cast("string"), 1, 19).alias("rt"),
+        F.when((n % 29 == 0) & ~login, "no time").otherwise(F.substring(when.cast("string"), 1, 19)).alias("rt"),
         _call_id(n, sid).alias("urc"),
         _call_id(F.floor(n / 2), sid).alias("uid"),
     )
@@ -79,7 +84,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         ", URC=", urc, ", UID=", uid, ", transaction_type=", kind,
     )
     lines = [
-        line(0, n == 1, "[", rt, "] [INFO] api_gateway: User 'user_", F.col("user_id").cast("string"),
+        line(0, (n == 1) & login, "[", rt, "] [INFO] api_gateway: User 'user_", F.col("user_id").cast("string"),
              "' logged in session_id=", F.col("sid"), " cif_id=",
              (F.col("user_id") + 100000).cast("string"), " URC=", urc),
         line(1, call, *request),
@@ -87,7 +92,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
              ", URC=", urc, ", UID=", uid, ", status_code=", F.col("code"), ", duration: ",
              F.floor("value").cast("string"),
              F.when(F.col("lvl") == "INFO", "").otherwise(F.concat(F.lit(", error_details="), det))),
-        line(3, call & (n % 7 == 0), "[", rt, "] [ERROR] svc_", kind, ": Downstream failed, ",
+        line(3, call & (n % 7 == 0) & ~calm, "[", rt, "] [ERROR] svc_", kind, ": Downstream failed, ",
              F.when(n % 2 == 0, F.concat(F.lit("URC="), urc, F.lit(", "))).otherwise(""),
              "UID=", uid, ", endpoint=/api/v1/", kind, ", reason=", det),
         line(4, call & (n % 17 == 0), *request),
@@ -98,6 +103,6 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("file_idx"),
         F.lit("events").alias("source_file"),
         F.lit(0).cast("bigint").alias("block_start"),
-        (F.col("user_id") * 1000000 + F.col("n") * 10 + F.col("l.seq")).alias("line_no"),
+        (F.col("user_id").cast("bigint") * F.lit(10**10) + F.col("n") * 10 + F.col("l.seq")).alias("line_no"),
         F.col("l.value").alias("value"),
     )

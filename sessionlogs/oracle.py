@@ -54,32 +54,33 @@ _STEPS = {
         row_number() over (partition by user_id order by ts, event_id) as n,
         'u' || lpad(cast(user_id as varchar), 6, '0') as sid from events""",
     "c": f"""select *, cast(floor(n / 2) as bigint) as pn,
-        case when event_type = 'error' then 'ERROR'
+        case when user_id % 5 = 3 then 'INFO' when event_type = 'error' then 'ERROR'
              when event_type = 'signup' and n % 5 = 0 then 'WARN' else 'INFO' end as lvl,
-        case n % 8 {_DETAIL} end as det,
-        case when event_type = 'error' then case n % 5 {_CODE} end else 200 end as code,
-        substr(cast(case when n % 11 = 0 and n > 1 then ts + interval 10 day else ts end as varchar), 1, 19) as rt
+        case when user_id % 5 = 4 then 'Data validation failed - missing required fields' else case n % 8 {_DETAIL} end end as det,
+        case when event_type = 'error' and user_id % 5 = 4 then 422 when event_type = 'error' then case n % 5 {_CODE} end else 200 end as code,
+        case when n % 29 = 0 and user_id % 11 = 5 then 'no time'
+             else substr(cast(case when n % 11 = 0 and n > 1 then ts + interval 10 day else ts end as varchar), 1, 19) end as rt
         from b""",
     "d": f"select *, {_call_id('n')} as urc, {_call_id('pn')} as uid from c",
-    "lines": """select user_id * 1000000 + n * 10 as line_no,
+    "lines": """select user_id * 10000000000 + n * 10 as line_no,
         '[' || rt || '] [INFO] api_gateway: User ''user_' || cast(user_id as varchar) || ''' logged in session_id='
-        || sid || ' cif_id=' || cast(user_id + 100000 as varchar) || ' URC=' || urc as value from d where n = 1
+        || sid || ' cif_id=' || cast(user_id + 100000 as varchar) || ' URC=' || urc as value from d where n = 1 and user_id % 11 <> 5
         union all
-        select user_id * 1000000 + n * 10 + s.seq, '[' || rt || '] [INFO] svc_' || event_type
+        select user_id * 10000000000 + n * 10 + s.seq, '[' || rt || '] [INFO] svc_' || event_type
         || ': Request received for /api/v1/' || event_type || ', URC=' || urc || ', UID=' || uid
         || ', transaction_type=' || event_type from d, (values (1), (4)) s(seq)
         where n > 1 and (s.seq = 1 or n % 17 = 0)
         union all
-        select user_id * 1000000 + n * 10 + 2, '[' || rt || '] [' || lvl || '] svc_' || event_type
+        select user_id * 10000000000 + n * 10 + 2, '[' || rt || '] [' || lvl || '] svc_' || event_type
         || ': Response sent for /api/v1/' || event_type || ', URC=' || urc || ', UID=' || uid || ', status_code='
         || cast(code as varchar) || ', duration: ' || cast(cast(floor(value) as bigint) as varchar)
         || case when lvl = 'INFO' then '' else ', error_details=' || det end from d where n > 1
         union all
-        select user_id * 1000000 + n * 10 + 3, '[' || rt || '] [ERROR] svc_' || event_type || ': Downstream failed, '
+        select user_id * 10000000000 + n * 10 + 3, '[' || rt || '] [ERROR] svc_' || event_type || ': Downstream failed, '
         || case when n % 2 = 0 then 'URC=' || urc || ', ' else '' end || 'UID=' || uid || ', endpoint=/api/v1/'
-        || event_type || ', reason=' || det from d where n > 1 and n % 7 = 0
+        || event_type || ', reason=' || det from d where n > 1 and n % 7 = 0 and user_id % 5 <> 3
         union all
-        select user_id * 1000000 + n * 10 + 5, 'malformed line without brackets ' || cast(n as varchar)
+        select user_id * 10000000000 + n * 10 + 5, 'malformed line without brackets ' || cast(n as varchar)
         from d where n % 23 = 0""",
     "parts": r"""select line_no, g.ts_raw as ts_raw, g.level as level, g.service as service, g.message as message from (
         select line_no, regexp_extract(value, '^\[(.*?)\] \[(.*?)\] (.*?): (.*)',
@@ -98,7 +99,7 @@ _STEPS = {
     "recs": f"""select *, coalesce(explicit_id, {_in_call_id('urc')}, {_in_call_id('uid')}) as session_id from fields""",
     "copies": """select *, row_number() over (partition by session_id, ts, message, service order by line_no) as rn
         from recs where session_id is not null""",
-    "pos": """select *, row_number() over (partition by session_id order by ts, line_no) as p
+    "pos": """select *, row_number() over (partition by session_id order by ts nulls first, line_no) as p
         from copies where rn = 1""",
     "roots": """select session_id, arg_min(urc, p) as root_urc from pos
         where is_login and urc is not null group by session_id""",
@@ -255,16 +256,15 @@ ORACLES: dict[str, str] = {
         "heads",
         """select n.session_id, cast(s.segment_no as bigint) as segment_no, r.root_urc, n.total_calls,
         greatest(least(n.total_calls - 1000 * s.segment_no, 1000), 0) as n_calls, h.impact_level,
-        greatest(least(h.total_errors - 1000 * s.segment_no, 1000), 0) as n_errors
+        greatest(least(coalesce(h.total_errors, 0) - 1000 * s.segment_no, 1000), 0) as n_errors
         from (select session_id, count(*) as total_calls from nodes group by session_id) n
-        join roots r using (session_id) left join heads h using (session_id), (select unnest(range(1000)) as segment_no) s
-        where 1000 * s.segment_no < greatest(n.total_calls, coalesce(h.total_errors, 0))""",
+        join roots r using (session_id) left join heads h using (session_id),
+        unnest(range(cast(ceil(greatest(n.total_calls, coalesce(h.total_errors, 0)) / 1000) as bigint))) as s(segment_no)""",
     ),
     "sink_root_causes": _sql(
         "found",
         """select session_id, cast(s.segment_no as bigint) as segment_no, message as triggering_error_message,
-        chain_impact as overall_chain_impact from found, (select unnest(range(1000)) as segment_no) s
-        where 1000 * s.segment_no < total_errors""",
+        chain_impact as overall_chain_impact from found, unnest(range(cast(ceil(total_errors / 1000) as bigint))) as s(segment_no)""",
     ),
     "scan_documents": "select doc_id as source, length(text) as text_length from documents",
     "parse_log_line": _sql("parts", "select line_no, ts_raw, level, service, message from parts"),

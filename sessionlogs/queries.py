@@ -126,14 +126,15 @@ def sink_full_analysis(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "full-analysis")
     found = analysis(spark, folder).correlations()
     sinks.write_full_analysis(found, path)
+    chain = F.get("error_chains", F.lit(0))  # none without errors
     return spark.read.schema(found.schema).json(path).select(
         "session_id",
         "segment_no",
         "root_urc",
         F.col("metrics.total_calls").alias("total_calls"),
         F.size("api_calls").alias("n_calls"),
-        F.col("error_chains")[0]["impact_level"].alias("impact_level"),
-        F.size(F.col("error_chains")[0]["errors"]).alias("n_errors"),
+        chain["impact_level"].alias("impact_level"),
+        F.coalesce(F.size(chain["errors"]), F.lit(0)).alias("n_errors"),
     )
 
 
