@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare word n-gram seeds lead to test items, Smith-Waterman alignment scores the passages.
+"""Benchmark decontamination: word n-gram seeds lead to test items, Smith-Waterman alignment scores the passages.
 
-A first pass over the documents counts in how many of them each n-gram of the test items stands. Of every item, the
-rarer half of its n-grams are its seeds, so an item that leaked widely keeps seeds too. A second pass looks seeds up; where enough seeds
-of an item stand within its length, the words around them are aligned with the item. An item is found if the
-score reaches a share of what its exact copy scores, so edited copies are found as well.
+Every n-gram of a test item is a seed of it, frequent ones too: which of them an edited copy keeps can't be told before. Where enough
+seeds of an item stand within its length, and the words around them that it shares could reach the least score, they are aligned
+with the item. An item is found if the score reaches a share of what its exact copy scores, so edited copies are found as well.
 
 Items are broadcast in slices of at most SLICE_WORDS words, and each slice takes a pass of its own, so a large
-benchmark costs passes, not memory. No text is shuffled: counts of n-grams are, pre-aggregated by task.
+benchmark costs passes, not memory. Nothing is shuffled.
 
 Words are lower-case runs of letters and digits. Defined cases: NULL and empty texts have no passage; items of fewer than LEAST_WORDS words can't be
 told from chance and are left out, NULL ones too; equal items are found each; a repeated row is marked each time. Documents are
@@ -31,7 +30,7 @@ LEAST_WORDS = 5
 SLICE_WORDS = 2_000_000
 #: Least share of an exact copy's score: 1 per equal word, -1 per other, missing or added word.
 LEAST_SCORE = 0.5
-#: Seeds that must stand within an item's length, or all if it has fewer.
+#: Seeds that must stand within an item's length, or as many as a copy with the most substitutions keeps for sure if these are fewer.
 LEAST_SEEDS = 2
 WORD = re.compile(r"[^\W_]+")
 
@@ -87,16 +86,6 @@ def gram_keys(numbers: np.ndarray) -> np.ndarray:
     return (n[:-2] << np.uint64(42)) | (n[1:-1] << np.uint64(21)) | n[2:] if len(n) >= N else np.zeros(0, np.uint64)
 
 
-def rare(items: Items, counts: np.ndarray) -> np.ndarray:
-    """Whether each entry of the lists of n-grams is a seed of its item: among the rarer half, equals first by place."""
-    count = np.repeat(counts, np.diff(items.starts))
-    order = np.lexsort((items.place, count, items.item))
-    sizes = np.bincount(items.item, minlength=len(items.ids))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return rank < np.maximum(LEAST_SEEDS, (sizes[items.item] + 1) // 2)
-
-
 def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman score of the best local alignment, and its first and last word in ``text``, end exclusive."""
     n = len(text)
@@ -120,7 +109,19 @@ def align(text: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def passages(items: Items, seeds: np.ndarray, numbers: np.ndarray, least: float = LEAST_SCORE) -> list[tuple[int, float, int, int]]:
+def _seeds_needed(size: int, least: float) -> int:
+    """Seeds that a copy must keep: a substitution costs 2 and breaks N n-grams."""
+    return min(LEAST_SEEDS, max(1, size - N + 1 - N * int((1 - least) * size / 2)))
+
+
+def _most(text: np.ndarray, item: np.ndarray) -> int:
+    """Words that both have, with repeats: no alignment scores more."""
+    known, held = np.unique(item, return_counts=True)
+    at = np.minimum(np.searchsorted(known, text), len(known) - 1)
+    return int(np.minimum(held, np.bincount(at[known[at] == text], minlength=len(known))).sum())
+
+
+def passages(items: Items, numbers: np.ndarray, least: float = LEAST_SCORE) -> list[tuple[int, float, int, int]]:
     """Items found in a text: number, score as a share of the item's words, first and last word."""
     places, grams = items.found(numbers)
     if not len(places):
@@ -128,17 +129,16 @@ def passages(items: Items, seeds: np.ndarray, numbers: np.ndarray, least: float
     counts = items.starts[grams + 1] - items.starts[grams]
     entry = np.repeat(items.starts[grams] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
     place = np.repeat(places, counts)
-    place, entry = place[seeds[entry]], entry[seeds[entry]]
     item = items.item[entry]
     order = np.lexsort((place, item))
-    place, item, entry = place[order], item[order], entry[order]
+    place, item = place[order], item[order]
     out = []
     sizes = np.bincount(item, minlength=len(items.ids))
     at = 0
     for k in np.flatnonzero(sizes):
         own, held = slice(at, at + sizes[k]), items.texts[k]
         at += sizes[k]
-        reach, need = len(held), min(LEAST_SEEDS, len(held) - N + 1)
+        reach, need = len(held), _seeds_needed(len(held), least)
         p = place[own]
         # starts of windows with enough different seeds
         near = [i for i in range(len(p) - need + 1) if p[i + need - 1] - p[i] <= reach]
@@ -150,6 +150,8 @@ def passages(items: Items, seeds: np.ndarray, numbers: np.ndarray, least: float
             # windows that touch are aligned together, in pieces of a few lengths
             high = min(len(numbers), int(p[i]) + 2 * reach)
             upto = high - reach
+            if _most(numbers[low:high], held) < least * reach:
+                continue
             score, start, end = align(numbers[low:high], held)
             best = max(best, (score / reach, low + start, low + end))
         if best[0] >= least:
@@ -176,42 +178,26 @@ def _slices(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         yield Items.of(held)
 
 
-def _counts(items: Items, text: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for x in batch.column(text):
-                counts[np.unique(items.found(items.numbers(x.as_py()))[1])] += 1
-        gram = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(gram), pa.array(counts[gram])], names=["gram", "n"])
-
-    return run
-
-
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", name: str = "hits", least: float = LEAST_SCORE) -> DataFrame:
     """``docs`` with the items found in each text: best score, first and last word."""
     kept = [c for c in docs.columns if c != name]
     out = docs.select(*kept)
     hits = []
     for k, items in enumerate(_slices(benchmark, item_id, item_text)):
-        found = docs.select(F.col(text).alias("text")).mapInArrow(_counts(items, "text"), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        counts = np.zeros(len(items.grams), np.int64)
-        for r in found.collect():  # at most the slice's n-grams
-            counts[r["gram"]] = r["n"]
         column = f"_{name}_{k}"
-        out = out.mapInArrow(_marked(items, rare(items, counts), text, column, least), T.StructType([*out.schema.fields, T.StructField(column, T._parse_datatype_string(_HITS))]))
+        out = out.mapInArrow(_marked(items, text, column, least), T.StructType([*out.schema.fields, T.StructField(column, T._parse_datatype_string(_HITS))]))
         hits.append(column)
     whole = F.concat(*hits) if hits else F.array().cast(_HITS)
     return out.select(*kept, whole.alias(name))
 
 
-def _marked(items: Items, seeds: np.ndarray, text: str, name: str, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _marked(items: Items, text: str, name: str, least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                [{"item_id": items.ids[k], "score": s, "start": a, "end": b} for k, s, a, b in passages(items, seeds, items.numbers(x.as_py()), least)]
+                [{"item_id": items.ids[k], "score": s, "start": a, "end": b} for k, s, a, b in passages(items, items.numbers(x.as_py()), least)]
                 for x in batch.column(text)
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, name])

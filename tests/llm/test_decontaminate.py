@@ -55,6 +55,22 @@ def test_exact_and_edited_copies_are_found(spark):
     assert {(r.doc_id, h.item_id) for r in out.collect() for h in r.hits} == want
 
 
+def test_copies_edited_down_to_the_least_score(spark):
+    rng = random.Random(5)
+    items = [(i, [f"i{i}w{j}" for j in range(size)]) for i, size in enumerate([16, 16, 12, 40, 40, 59] * 4)]
+    texts = []
+    for _, item in items:
+        for share in (0.12, 0.16, 0.2, 0.23, 0.25):
+            text = list(item)
+            for j in rng.sample(range(len(item)), int(share * len(item))):
+                text[j] = f"z{rng.randint(1, 999)}"
+            texts.append(["before"] * 3 + text + ["after"] * 3)
+    want = {(k, i) for k, t in enumerate(texts) for i, item in items if brute(t, item) >= 0.5 * len(item)}
+    out = decontaminate.mark(documents(spark, [(k, " ".join(t)) for k, t in enumerate(texts)]), spark.createDataFrame([(i, " ".join(t)) for i, t in items], ITEMS))
+    assert {(r.doc_id, h.item_id) for r in out.collect() for h in r.hits} == want
+    assert len(want) == len(texts)
+
+
 def test_slices_and_widespread_items(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(6)] + [(9, "too short"), (10, None), (None, "one two three four five six")]
     rows = [(k, f"start {items[0][1]} end") for k in range(50)] + [(100, items[5][1] + " " + items[3][1]), (101, "x one two three four five six")]
