@@ -34,15 +34,17 @@ ACCESS_LEAST = 18
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 or more; shorter ones are dropped
 KINDS = ("assign", "access", "hex", "password")
 
-#: A credential's name, what may stand between, and a value up to white space or its closing quote.
+#: A credential's name, also at the end of a longer one, what may stand between, and a value up to white space or its closing quote. After a line feed,
+#: a value is indented and neither a list's item nor the next name.
 CONTEXT = re.compile(
-    r"\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth[_-]?key)"
-    r"[\"']?(?:\x20{0,8}[:=]{1,2}>?\x20{0,8}|\x20is:?\x20)(?:\"([^\"\s]+)\"|'([^'\s]+)'|([^\s\"']+))",
+    r"(?:pass(?:word|wd|phrase|code)|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=P)))pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth[_-]?key)"
+    r"[\"']?(?:[\x20\t]{0,8}[:=]{1,2}>?(?:[\x20\t]{0,8}|[\x20\t]{0,8}\r?\n[\x20\t]{1,40}(?!-\s|[\"']?[\w.-]{1,80}[\"']?[\x20\t]*[:=](?:\s|\Z)))|[\x20\t]is:?[\x20\t])"
+    r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"']+))",
     re.ASCII | re.IGNORECASE,
 )
 VALUE_LEAST = 6
-#: Values filled in elsewhere.
-TEMPLATE = re.compile(r"[$%{<\[]")
+#: Values filled in elsewhere: closed forms, and names of variables.
+TEMPLATE = re.compile(r"\$?\{\{[^{}\n]{0,200}\}\}|[$%#]?\{[^{}\n]{0,200}\}|\$\([^()\n]{0,200}\)|<[^<>\n]{0,200}>|\[[\w\x20.-]{0,200}\]|%\([^()\n]{0,200}\)s|%\w{1,200}%|\$[A-Z_][A-Z0-9_]*(?![^\s\"'.,;:)\]}>])")
 #: Values from this many guesses on (a power of ten) are secrets.
 HARD = 8.0
 
@@ -125,7 +127,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             end -= 1
         before = bisect_left(starts, end)  # base spans that start before the value's end; the farthest of them must end before it
         apart = not before or reach[before - 1] <= start
-        if apart and end - start >= VALUE_LEAST and not TEMPLATE.match(text, start) and guesses(text[start:end]) >= HARD:
+        filled = TEMPLATE.match(text, start)
+        if apart and end - start >= VALUE_LEAST and not (filled and filled.end() >= end) and guesses(text[start:end]) >= HARD:
             found.append(("password", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -26,6 +26,18 @@ def test_values_that_are_hard_to_guess_are_added():
         assert kinds(f"the password is {easy}.") == []
 
 
+def test_names_quotes_and_signs_of_configuration_files():
+    value = "x9!Qz#7Lw"
+    for before in ("DB_PASSWORD=", "AWS_SECRET_ACCESS_KEY=", '"db_password": "', "userPassword=", "dbpassword: ", "userPass=", "password\t=\t", "password:\n  ", "my-token => "):
+        assert kinds(before + value + ('"' if before.endswith('"') else "")) == [("password", value)], before
+    assert kinds('password: "x9! Qz#7Lw"') == [("password", "x9! Qz#7Lw")] and kinds("pwd='x9! Qz#7Lw'") == [("password", "x9! Qz#7Lw")]
+    for value in ("$tr0ng!Pa55w", "%tr0ng!Pa55w", "{tr0ng!Pa55w", "<tr0ng!Pa55w", "[tr0ng!Pa55w", "${a}tr0ng!Pa55w"):
+        assert kinds(f"password: {value}") == [("password", value)], value
+    for filled in ("${DB_PASS!1:-x}", "{{ vault.db_secret!9 }}", "<your own pass-phrase>", "%(db_secret_9)s", "{db_secret_9}", "$DB_SECRET_9", "%DB_SECRET_9%", "$(cat /run/secret9)", "[db_secret_9]"):
+        assert kinds(f"password: {filled}") == [] and kinds(f'password: "{filled}".') == [], filled
+    assert kinds("token:\n  description: xK9#mQ2$vL") == [] and kinds("the compass is northbound") == []
+
+
 def brute(value):
     """The cheapest segmentation by trying all of them."""
     n, infinite = len(value), float("inf")
