@@ -4,8 +4,9 @@ A page is a row of tokens: words score positive, tags negative, and one linear s
 greatest sum. Weights come from labelled pages, those that mark their content with one ``article`` or ``main`` element:
 a tag weighs by how much more often it stands outside of content, so paragraph tags cost almost nothing and a menu's
 tags much; words weigh by the block that they stand in. Elements that are never main text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, comments), by name or by a word of their class, id or role, score nothing and give no
-words, also within the run.
+notices, adverts, forms, scripts, styles, comments), by tag or by a class, id or role that is such a word, begins or ends with it,
+score nothing and give no words, also within the run. Names that begin with a word of layout or taxonomy, headers of content, and elements with
+most of the page's words (unless hidden or never text by their tag) go by their score.
 
 The text is the run's blocks in page order, white space in a block turned into one space, joined by line feeds.
 
@@ -21,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from html import unescape
+from itertools import accumulate
 from math import log
 
 import pyarrow as pa
@@ -35,7 +37,7 @@ MOST_KINDS = 5_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|select|button|object)\b(?:\"[^\"<]*\"|'[^'<]*'|[^\"'>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|textarea|title|iframe)\b(?:\"[^\"<]*\"|'[^'<]*'|[^\"'>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|[^\"'<>])*+)>"
     r"|</?[A-Za-z][^<>]*>"
     r"|<[!?][^>]*>",
@@ -44,7 +46,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?i)(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true")
 
-NEVER = frozenset("nav header footer aside form head menu dialog fieldset applet audio video canvas map".split())
+NEVER = frozenset("nav header footer aside form head menu dialog fieldset applet audio video canvas map svg select button object template".split())
+#: Of these, those within a line: their own blocks don't break it.
+INLINE = frozenset("svg select button object template".split())
 NEVER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion
     cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall
@@ -54,6 +58,9 @@ NEVER_WORDS = frozenset(
     share sharing social related recommended recirc search login form
     complementary contentinfo search""".split()
 )
+#: First parts of names that tell of layout or taxonomy, whatever the last one is, and of content, whose header is its heading.
+OTHER_WORDS = frozenset("has have no not non with without is are in on off category categories cat tag tags topic type format".split())
+CONTENT_WORDS = frozenset("article post entry story content".split())
 BLOCKS = frozenset(
     """address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure
     footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre
@@ -86,12 +93,25 @@ def _class_words(attrs: str) -> list[str]:
     return found
 
 
+def _never_named(attrs: str) -> bool:
+    """Whether a class, id or role as a whole, or its first or last part, is a word of what is never main text."""
+    for m in ATTRIBUTE.finditer(attrs):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower())
+            if not parts or parts[0] in OTHER_WORDS or (parts[0] in CONTENT_WORDS and parts[-1] == "header"):
+                continue
+            if parts[0] in NEVER_WORDS or parts[-1] in NEVER_WORDS:
+                return True
+    return False
+
+
 def tokens(html: str) -> list[Token]:
     """The page's tokens, with what is never main text marked."""
     out: list[Token] = []
     opened: dict[str, list[int]] = {}
     ends: dict[int, int] = {}
     never: list[int] = []
+    by_score: set[int] = set()
     at = 0
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -112,18 +132,28 @@ def tokens(html: str) -> list[Token]:
             kind = ".".join([tag, *sorted(set(words))[:3]])
             if tag not in VOID and not attrs.endswith("/"):
                 opened.setdefault(tag, []).append(here)
-            if (tag in NEVER or not NEVER_WORDS.isdisjoint(words) or HIDDEN.search(attrs)) and tag not in ("html", "body", *CONTENT):
-                never.append(here)
+            if tag not in ("html", "body", *CONTENT):
+                certain = (tag in NEVER and tag != "form") or HIDDEN.search(attrs)
+                if certain or tag == "form" or (words and _never_named(attrs)):
+                    never.append(here)
+                    if not certain:
+                        by_score.add(here)
         out.append(Token(tag, kind, close))
     if at < len(html):
         out.append(Token("", "", text=html[at:]))
+    before = list(accumulate((0 if t.tag else len(t.text.split()) for t in out), initial=0)) if by_score else []
     upto = -1
     for start in never:
         if start <= upto:
             continue
         end = ends.get(start)
         if end is None:
-            end = next((k for k in range(start + 1, len(out)) if out[k].tag in BLOCKS), len(out)) - 1
+            end = next((k for k in range(start + 1, len(out)) if out[k].tag in BLOCKS and not (out[start].tag == "select" and out[k].tag in ("option", "optgroup"))), len(out)) - 1
+        if start in by_score and 2 * (before[end + 1] - before[start]) > before[-1]:
+            continue  # most of the page's words
+        if out[start].tag in INLINE and start in ends:
+            for k in range(start + 1, end):
+                out[k].tag = out[k].tag and out[start].tag
         for k in range(start, end + 1):
             out[k].skip = True
         upto = end

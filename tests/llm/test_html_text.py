@@ -35,6 +35,23 @@ def test_odd_markup():
         assert html_text.extract(page, w) == text, page
 
 
+def test_names_with_such_words_do_not_drop_the_article():
+    w = html_text.weigh({})
+    body = "<p>" + "the story goes on " * 30 + "</p>"
+    story = ("the story goes on " * 30).strip()
+    for name in ("content has-sidebar", "post category-social tag-search", "no-footer", "entry-content with-ads"):
+        assert html_text.extract(f'<p>x</p><p>{"y " * 99}</p><div class="{name}">{body}</div>', w).endswith(story), name
+    assert html_text.extract(f'<section class="legal">{body}</section>', w) == story
+    assert html_text.extract(f'<form id="aspnet">{body}</form>', w) == story
+    assert html_text.extract(f'<div class="article-header"><h1>Head of the story</h1></div>{body}', w) == f"Head of the story\n{story}"
+    for name in ("sidebar", "site-footer", "widget-area", "adBox", "main-nav", "post-comments"):
+        assert html_text.extract(f'<div class="{name}"><p>no</p></div>{body}', w) == story, name
+    for tag in ("button", "select", "svg", "object", "template"):
+        assert html_text.extract(f"<p>a<{tag}>x{body}", w) == f"a\n{story}", tag
+        assert html_text.extract(f"<p>a <{tag}><b>x</b><option>y</{tag}> b</p>", w) == "a b", tag
+    assert html_text.extract(f"<select><option>x<option>y{body}", w) == story
+
+
 def test_best_run_equals_brute_force():
     rng = random.Random(1)
     for _ in range(300):
