@@ -120,10 +120,28 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+LEXICAL_SEARCH = r"""
+WITH doc_terms AS (
+  SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), held AS (SELECT row_no, doc_id, len(w) AS n, w FROM doc_terms WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM held),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), postings AS (SELECT row_no, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row_no, doc_id, n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals),
+scores AS (
+  SELECT item_id, row_no, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n::BIGINT * n_docs) // n_terms)))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY item_id, row_no, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_warc": WARC,
     "op6_quality_rules": QUALITY,
     "op8_url_filter": URL_FILTER,
     "op9_mixing": MIXING,
+    "op13_lexical_search": LEXICAL_SEARCH,
 }

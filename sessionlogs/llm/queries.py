@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlogs.llm import decontaminate, html_text, mixing, near_dedup, quality, secret_scan, token_output, toxicity, url_filter, warc
+from sessionlogs.llm import decontaminate, html_text, language_id, lexical_search, mixing, near_dedup, quality, secret_scan, token_output, toxicity, url_filter, warc, word_runs
 from sessionlogs.llm.oracle import ORACLES as ORACLES
 from sessionlogs.stage import fresh_path, materialise
 
@@ -115,6 +115,42 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.inline("hits")).select("doc_id", "item_id", "score", "start", "end")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = language_id.add_language(docs.select("doc_id", "text"), language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def with_period(text: Column, doc_id: Column) -> Column:
+    """The text; for a tenth of the ids, its words made periodic from some word on."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split(text, mixing.SPACE), lambda w: w != "")
+    n = F.size(words)
+    a = (g % F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    rest = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    return F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", F.concat(F.slice(words, F.lit(1), a), rest))).otherwise(text)
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, and its words without repetitions, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_period(F.col("text"), F.col("doc_id")).alias("text"))
+    out = word_runs.add_runs(docs).select("doc_id", "runs", "collapsed", word_runs.strongest(F.col("runs")).alias("best"))
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(word_runs.as_lines(F.col("runs")), 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every test item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
     "op2_toxicity": op2_toxicity,
@@ -126,4 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_decontamination": op10_decontamination,
+    "op11_language_id": op11_language_id,
+    "op12_word_runs": op12_word_runs,
+    "op13_lexical_search": op13_lexical_search,
 }
