@@ -44,11 +44,11 @@ class Analysis:
         return sinks.to_indexed(self.positions, "source_bucket")
 
     def write(self, path: str, model_output: DataFrame | None = None) -> None:
-        """Write the full analysis and the root causes as JSON lines below ``path``."""
-        sinks.write_full_analysis(self.correlations(), f"{path}/correlations")
-        sinks.write_full_analysis(self.log_content(), f"{path}/log_content")
-        sinks.write_full_analysis(self.raw_logs(), f"{path}/raw_logs")
-        sinks.write_root_causes(self.root_causes(model_output), f"{path}/root_causes")
+        """Write the full analysis and the root causes as JSON lines below ``path``, one object per session."""
+        sinks.write_full_analysis(self.nodes, self.pool, f"{path}/correlations")
+        sinks.write_rows(self.log_content(), f"{path}/log_content")
+        sinks.write_rows(self.raw_logs(), f"{path}/raw_logs")
+        sinks.write_root_causes(self.nodes, self.pool, f"{path}/root_causes", model_output)
 
 
 def analyse(

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlogs.parse import is_error_level
-from sessionlogs.skew import HOT_ROWS, SEGMENT_ROWS, hot_keys, join_many_to_one, segments
+from sessionlogs.objects import pieces
+from sessionlogs.skew import HOT_ROWS, LIST_ITEMS, hot_keys, join_many_to_one, lists
 from sessionlogs.sources import LINE_ORDER
 from sessionlogs.stage import materialise
 
@@ -213,42 +214,34 @@ def _kids(nodes: DataFrame) -> DataFrame:
     )
 
 
-def children(nodes: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
-    """Ids of the children of each node, in the order they attached, in segments."""
-    return segments(
-        _kids(nodes), ["session_id", "node_urc"], "attach_seq", F.col("child_urc"), "children", size
-    ).withColumnRenamed("node_urc", "urc")
+def children(nodes: DataFrame, size: int = LIST_ITEMS) -> DataFrame:
+    """Ids of the children of each node that has any, in the order they attached; NULL beyond ``size``."""
+    found = lists(_kids(nodes), ["session_id", "node_urc"], "attach_seq", F.col("child_urc"), "children", size)
+    return found.withColumnRenamed("node_urc", "urc")
 
 
-def calls_with_children(
-    nodes: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Every node with its children; one with more than ``size`` has a row per segment (``part``).
+def calls(nodes: DataFrame, size: int = LIST_ITEMS) -> DataFrame:
+    """Per session its ``total_calls`` and ``api_calls``: every node with its children and level, in the order they attached."""
+    kids = children(nodes, size).select("session_id", "urc", F.col("children").alias("kids"), "n_items")
+    none = F.array().cast("array<string>")
+    call = F.struct("urc", F.when(F.col("n_items").isNull(), none).otherwise(F.col("kids")).alias("children"), "level")
+    found = lists(nodes.join(kids, ["session_id", "urc"], "left"), ["session_id"], "attach_seq", call, "api_calls", size)
+    return found.withColumnRenamed("n_items", "total_calls")
 
-    Children get level and position of their node before they are listed, so the
-    lists themselves are not joined.
-    """
+
+def call_pieces(nodes: DataFrame, list_no: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The calls of each session for ``objects.write_objects``: a piece for each call and one for each child of it."""
     kids = _kids(nodes)
-    hot = hot_keys(kids, ["session_id", "node_urc"], nodes.count(), hot_rows)
-    at = nodes.select(
-        "session_id",
-        F.col("urc").alias("node_urc"),
-        "level",
-        F.col("attach_seq").alias("node_seq"),
-    )
+    at = nodes.select("session_id", F.col("urc").alias("node_urc"), "level", F.col("attach_seq").alias("node_seq"))
     keys = ["session_id", "node_urc"]
-    listed = segments(
-        join_many_to_one(kids, at, keys, "attach_seq", hot),
-        [*keys, "level", "node_seq"],
-        "attach_seq",
-        F.col("child_urc"),
-        "children",
-        size,
-    ).withColumnRenamed("segment_no", "part")
-    leaves = at.join(kids.select(*keys).distinct(), keys, "left_anti").withColumns(
-        {"part": F.lit(0).cast("bigint"), "children": F.array().cast("array<string>")}
-    )
-    return listed.unionByName(leaves)
+    hot = hot_keys(kids, keys, nodes.count(), hot_rows)
+    first = at.select("*", F.lit(-2).cast("bigint").alias("k"), F.lit("").alias("body"))
+    quoted = F.to_json(F.array("child_urc"))
+    quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    rest = join_many_to_one(kids, at, keys, "attach_seq", hot).select(*at.columns, F.col("attach_seq").alias("k"), quoted.alias("body"))
+    opened = F.to_json(F.struct(F.col("node_urc").alias("urc"), "level"))
+    before = F.concat(F.substring(opened, F.lit(1), F.length(opened) - 1), F.lit(',"children":['))
+    return pieces(first.unionByName(rest), "session_id", list_no, "node_seq", F.col("body"), F.col("k"), before, F.lit("]}"))
 
 
 def total_calls(nodes: DataFrame) -> DataFrame:

@@ -6,15 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlogs import calltree
+from sessionlogs.objects import item, opened, pieces
 from sessionlogs.parse import SEVERITIES, content_severity, is_error_level, iso_time
-from sessionlogs.skew import (
-    HOT_ROWS,
-    SEGMENT_ROWS,
-    hot_keys,
-    join_many_to_one,
-    segments,
-    sequence,
-)
+from sessionlogs.skew import HOT_ROWS, LIST_ITEMS, lists, sequence
 
 BREAKDOWN = [s.lower() for s in reversed(SEVERITIES)]
 
@@ -82,22 +76,14 @@ def chain_headers(pool: DataFrame) -> DataFrame:
     )
 
 
-def chain_errors(pool: DataFrame, size: int = SEGMENT_ROWS) -> DataFrame:
-    """The errors of each chain in order, in segments of ``size``."""
-    return segments(
-        pool.where("in_chain"), ["session_id"], "chain_seq", error_struct(), "errors", size
-    )
+def chain_errors(pool: DataFrame, size: int = LIST_ITEMS) -> DataFrame:
+    """The errors of each chain that has any, in order, as one list; NULL beyond ``size``."""
+    return lists(pool.where("in_chain"), ["session_id"], "chain_seq", error_struct(), "errors", size)
 
 
-def with_chain_errors(
-    sessions: DataFrame, pool: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """One row per session joined to the segments of its chain, if it has one."""
-    listed = chain_errors(pool, size)
-    hot = hot_keys(pool, ["session_id"], pool.count(), hot_rows)
-    found = join_many_to_one(listed, sessions, ["session_id"], "segment_no", hot)
-    without = sessions.join(pool.where("in_chain").select("session_id").distinct(), "session_id", "left_anti")
-    return found.unionByName(without, allowMissingColumns=True)
+def error_pieces(pool: DataFrame, list_no: int) -> DataFrame:
+    """The errors of each chain for ``objects.write_objects``."""
+    return pieces(pool.where("in_chain"), "session_id", list_no, "chain_seq", item(error_struct()))
 
 
 def trigger_errors(pool: DataFrame) -> DataFrame:
@@ -125,51 +111,32 @@ def correlation_headers(nodes: DataFrame, pool: DataFrame) -> DataFrame:
     )
 
 
-def correlation_records(
-    nodes: DataFrame, pool: DataFrame, size: int = SEGMENT_ROWS, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Nested correlation per session: calls with their children, error chain, metrics.
+def correlation_records(nodes: DataFrame, pool: DataFrame, size: int = LIST_ITEMS) -> DataFrame:
+    """Nested correlation, one row per session: calls with their children, error chain, metrics.
 
-    A session with up to ``size`` calls and errors is one row (segment 0). Larger
-    ones continue in further rows with the same session id. A node with more than
-    ``size`` children is repeated, in order, with the next part of its children.
+    A list of more than ``size`` items is NULL here, as a value of that size fits no row; ``calls``, ``nodes`` and the pool
+    have its items as rows, and the files of ``correlation_objects`` have it whole.
     """
-    entries = calltree.calls_with_children(nodes, size, hot_rows).select(
-        "session_id",
-        "node_seq",
-        "part",
-        F.struct(F.col("node_urc").alias("urc"), "children", "level").alias("call"),
-    )
-    ordered = sequence(entries, ["session_id", "node_seq", "part"], "api_calls", "call_seq")
-    calls = segments(ordered, ["session_id"], "call_seq", F.col("call"), "api_calls", size)
-    errors = chain_errors(pool, size)
-    body = calls.join(errors, ["session_id", "segment_no"], "full")
-    chain = F.struct(
-        "session_id",
-        F.coalesce("errors", F.array().cast(errors.schema["errors"].dataType)).alias("errors"),
-        "total_errors",
-        "impact_level",
-        F.struct(*BREAKDOWN).alias("severity_breakdown"),
-    )
-    hot = hot_keys(nodes, ["session_id"], nodes.count(), hot_rows)
-    rows = join_many_to_one(
-        body, correlation_headers(nodes, pool), ["session_id"], "segment_no", hot
-    )
+    errors = chain_errors(pool, size).withColumnRenamed("n_items", "n_errors")
+    rows = calltree.calls(nodes, size).drop("total_calls").join(correlation_headers(nodes, pool), "session_id").join(errors, "session_id", "left")
+    none = F.array().cast(errors.schema["errors"].dataType)
+    listed = F.when(F.col("n_errors").isNull(), none).otherwise(F.col("errors"))
+    chain = F.struct("session_id", listed.alias("errors"), "total_errors", "impact_level", F.struct(*BREAKDOWN).alias("severity_breakdown"))
     return rows.select(
         "session_id",
-        "segment_no",
         "root_urc",
-        F.coalesce("api_calls", F.array().cast(calls.schema["api_calls"].dataType)).alias("api_calls"),
-        F.when(F.col("total_errors").isNotNull(), F.array(chain))
-        .otherwise(F.array().cast("array<" + _chain_type(errors) + ">"))
-        .alias("error_chains"),
+        "api_calls",
+        F.filter(F.array(F.when(F.col("total_errors").isNotNull(), chain)), lambda c: c.isNotNull()).alias("error_chains"),
         F.struct("total_calls").alias("metrics"),
     )
 
 
-def _chain_type(errors: DataFrame) -> str:
-    counts = ",".join(f"{s}:bigint" for s in BREAKDOWN)
-    return (
-        f"struct<session_id:string,errors:{errors.schema['errors'].dataType.simpleString()},"
-        f"total_errors:bigint,impact_level:string,severity_breakdown:struct<{counts}>>"
-    )
+def correlation_objects(nodes: DataFrame, pool: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """The same as marks and pieces for ``objects.write_objects``, at any size."""
+    head = F.concat(opened(F.struct("session_id", "root_urc", F.struct("total_calls").alias("metrics"))), F.lit(',"api_calls":['))
+    chain = opened(F.struct("session_id", "total_errors", "impact_level", F.struct(*BREAKDOWN).alias("severity_breakdown")))
+    found = F.col("total_errors").isNotNull()
+    middle = F.concat(F.lit('],"error_chains":['), F.when(found, F.concat(chain, F.lit(',"errors":['))).otherwise(""))
+    end = F.when(found, "]}]}").otherwise("]}")
+    marks = correlation_headers(nodes, pool).select("session_id", F.array(head, middle, end).alias("marks"))
+    return marks, calltree.call_pieces(nodes, 0, hot_rows).unionByName(error_pieces(pool, 1))

@@ -254,17 +254,18 @@ ORACLES: dict[str, str] = {
     ),
     "sink_full_analysis": _sql(
         "heads",
-        """select n.session_id, cast(s.segment_no as bigint) as segment_no, r.root_urc, n.total_calls,
-        greatest(least(n.total_calls - 1000 * s.segment_no, 1000), 0) as n_calls, h.impact_level,
-        greatest(least(coalesce(h.total_errors, 0) - 1000 * s.segment_no, 1000), 0) as n_errors
-        from (select session_id, count(*) as total_calls from nodes group by session_id) n
-        join roots r using (session_id) left join heads h using (session_id),
-        unnest(range(cast(ceil(greatest(n.total_calls, coalesce(h.total_errors, 0)) / 1000) as bigint))) as s(segment_no)""",
+        """select r.session_id, r.root_urc, n.total_calls, n.total_calls as n_calls, n.total_calls - 1 as n_children,
+        h.impact_level, coalesce(h.total_errors, 0) as n_errors, case when h.total_errors is not null then
+        sha256(coalesce(c.messages, '')) end as messages_sha256 from roots r
+        join (select session_id, count(*) as total_calls from nodes group by session_id) n using (session_id)
+        left join heads h using (session_id)
+        left join (select session_id, string_agg(message, chr(10) order by e) as messages from chain group by 1) c
+        using (session_id)""",
     ),
     "sink_root_causes": _sql(
         "found",
-        """select session_id, cast(s.segment_no as bigint) as segment_no, message as triggering_error_message,
-        chain_impact as overall_chain_impact from found, unnest(range(cast(ceil(total_errors / 1000) as bigint))) as s(segment_no)""",
+        """select session_id, message as triggering_error_message, chain_impact as overall_chain_impact,
+        total_errors, total_errors as n_errors from found""",
     ),
     "scan_documents": "select doc_id as source, length(text) as text_length from documents",
     "parse_log_line": _sql("parts", "select line_no, ts_raw, level, service, message from parts"),
@@ -349,19 +350,18 @@ ORACLES: dict[str, str] = {
     "session_count": _recs("count(distinct session_id) as n_sessions"),
     "log_content": _sql(
         "pos",
-        """select session_id, 'index' as source_bucket, cast((p - 1) // 1000 as bigint) as segment_no,
-        string_agg(message, chr(10) order by p) as content from pos group by 1, 2, 3""",
+        """select session_id, 'index' as source_bucket, cast(0 as bigint) as segment_no,
+        string_agg(message, chr(10) order by p) as content from pos group by 1, 2""",
     ),
     "children_list": _sql(
         "kids",
-        """select session_id, urc, cast((k - 1) // 1000 as bigint) as segment_no,
-        string_agg(child, ',' order by k) as children from kids group by 1, 2, 3""",
+        """select session_id, urc, count(*) as n_items, string_agg(child, ',' order by k) as children
+        from kids group by 1, 2""",
     ),
     "api_calls": _sql("calls", "select session_id, call_no, urc, parent_urc, level from calls"),
     "api_calls_nested": _sql(
         "kids",
-        """select c.session_id, cast((call_no - 1) // 1000 as bigint) as segment_no,
-        cast((call_no - 1) % 1000 as bigint) as call_idx, c.urc, c.level, coalesce(l.children, '') as children
+        """select c.session_id, cast(call_no - 1 as bigint) as call_idx, c.urc, c.level, coalesce(l.children, '') as children
         from calls c left join (select session_id, urc, string_agg(child, ',' order by k) as children
             from kids group by 1, 2) l on l.session_id = c.session_id and l.urc = c.urc""",
     ),
@@ -371,8 +371,7 @@ ORACLES: dict[str, str] = {
     ),
     "error_chain": _sql(
         "chain",
-        f"""select session_id, cast((e - 1) // 1000 as bigint) as segment_no,
-        cast((e - 1) % 1000 as bigint) as error_idx, {_ERROR_COLUMNS} from chain""",
+        f"select session_id, cast(e - 1 as bigint) as error_idx, {_ERROR_COLUMNS} from chain",
     ),
     "severity_breakdown": _sql("heads", "select session_id, total_errors, critical, high, medium, low from heads"),
     "impact_level": _sql("heads", "select session_id, impact_level from heads"),
@@ -393,8 +392,8 @@ ORACLES: dict[str, str] = {
         "recs", f"select line_no, {_TS} from (select * from recs order by ts nulls first, line_no limit 10000)"
     ),
     "normalise_pages": """with p as (select *, row_number() over (partition by conv_id order by turn) as k
-        from conversations) select conv_id, cast((k - 1) // 1000 as bigint) as segment_no,
-        string_agg(text, chr(10) order by k) || chr(10) as text from p group by 1, 2""",
+        from conversations) select conv_id, cast(0 as bigint) as segment_no,
+        string_agg(text, chr(10) order by k) || chr(10) as text from p group by 1""",
     "chunk_fixed": """with n as (select doc_id, text,
         greatest(cast(ceil((length(text) - 200) / 800.0) as bigint), 1) as total from documents where length(text) > 0)
         select doc_id as source, i as chunk, total as total_chunks, substr(text, i * 800 + 1, 1000) as content
@@ -418,10 +417,9 @@ ORACLES: dict[str, str] = {
     ),
     "rca_context_pack": _sql(
         "trig",
-        f"""select t.session_id, cast(l.segment_no as bigint) as segment_no, {_RCA_TEXT} as context from trig t
+        f"""select t.session_id, {_RCA_TEXT} as context from trig t
         join heads h on h.session_id = t.session_id
-        join (select c.session_id, (c.e - 1) // 1000 as segment_no,
-            string_agg({_ERROR_JSON}, ', ' order by c.e) as errors from chain c group by 1, 2) l
+        join (select c.session_id, string_agg({_ERROR_JSON}, ', ' order by c.e) as errors from chain c group by 1) l
         on l.session_id = t.session_id""",
     ),
     "recommendation_context_pack": _sql(

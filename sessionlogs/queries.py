@@ -124,26 +124,34 @@ def sink_structured_docs(spark: SparkSession, folder: str) -> DataFrame:
 
 def sink_full_analysis(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "full-analysis")
-    found = analysis(spark, folder).correlations()
-    sinks.write_full_analysis(found, path)
+    a = analysis(spark, folder)
+    sinks.write_full_analysis(a.nodes, a.pool, path)
+    stored = a.correlations().schema
     chain = F.get("error_chains", F.lit(0))  # none without errors
-    return spark.read.schema(found.schema).json(path).select(
+    return spark.read.schema(stored).json(path).select(
         "session_id",
-        "segment_no",
         "root_urc",
         F.col("metrics.total_calls").alias("total_calls"),
         F.size("api_calls").alias("n_calls"),
+        F.size(F.flatten("api_calls.children")).alias("n_children"),
         chain["impact_level"].alias("impact_level"),
         F.coalesce(F.size(chain["errors"]), F.lit(0)).alias("n_errors"),
+        F.sha2(F.array_join(chain["errors"]["message"], "\n"), 256).alias("messages_sha256"),
     )
 
 
 def sink_root_causes(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "root-causes")
-    sinks.write_root_causes(analysis(spark, folder).root_causes(), path)
-    one = "struct<triggering_error_message:string,overall_chain_impact:string>"
-    stored = spark.read.schema(f"session_id string, segment_no bigint, root_causes array<{one}>")
-    return stored.json(path).select("session_id", "segment_no", F.inline("root_causes"))
+    a = analysis(spark, folder)
+    sinks.write_root_causes(a.nodes, a.pool, path)
+    chain = "struct<errors:array<struct<message:string>>,impact_level:string,total_errors:bigint>"
+    one = f"struct<triggering_error_message:string,overall_chain_impact:string,full_error_chain_details_for_context:{chain}>"
+    stored = spark.read.schema(f"session_id string, root_causes array<{one}>").json(path)
+    return stored.select("session_id", F.inline("root_causes")).select(
+        "session_id", "triggering_error_message", "overall_chain_impact",
+        F.col("full_error_chain_details_for_context.total_errors").alias("total_errors"),
+        F.size("full_error_chain_details_for_context.errors").alias("n_errors"),
+    )
 
 
 def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -317,7 +325,7 @@ def log_content(spark: SparkSession, folder: str) -> DataFrame:
 
 def children_list(spark: SparkSession, folder: str) -> DataFrame:
     kids = calltree.children(analysis(spark, folder).nodes)
-    return kids.withColumn("children", F.array_join("children", ","))
+    return kids.select("session_id", "urc", "n_items", F.array_join("children", ",").alias("children"))
 
 
 def api_calls(spark: SparkSession, folder: str) -> DataFrame:
@@ -327,8 +335,8 @@ def api_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 def api_calls_nested(spark: SparkSession, folder: str) -> DataFrame:
     found = analysis(spark, folder).correlations()
-    return found.select("session_id", "segment_no", F.posexplode("api_calls").alias("call_idx", "c")).select(
-        "session_id", "segment_no", "call_idx", "c.urc", "c.level",
+    return found.select("session_id", F.posexplode("api_calls").alias("call_idx", "c")).select(
+        "session_id", "call_idx", "c.urc", "c.level",
         F.array_join("c.children", ",").alias("children"),
     )
 
@@ -344,8 +352,8 @@ def session_error_pool(spark: SparkSession, folder: str) -> DataFrame:
 
 def error_chain(spark: SparkSession, folder: str) -> DataFrame:
     errors = chains.chain_errors(analysis(spark, folder).pool)
-    return errors.select("session_id", "segment_no", F.posexplode("errors").alias("error_idx", "e")).select(
-        "session_id", "segment_no", "error_idx", "e.*"
+    return errors.select("session_id", F.posexplode("errors").alias("error_idx", "e")).select(
+        "session_id", "error_idx", "e.*"
     )
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlogs import chains
+from sessionlogs.objects import item, opened
 from sessionlogs.parse import content_severity, iso_time
 from sessionlogs.schemas import ANALYSIS, RECOMMENDATIONS
-from sessionlogs.skew import SEGMENT_ROWS
+from sessionlogs.skew import LIST_ITEMS
 
 
 PRETTY = {"pretty": "true", "ignoreNullFields": "false"}
@@ -75,65 +76,69 @@ def trigger_as_error() -> Column:
     return F.struct(*names, "calculated_severity")
 
 
-def _chain(errors: Column) -> Column:
-    """Chain details; a trigger whose chain is not found stands for itself."""
+def _chain(errors: Column, own: bool = True) -> Column:
+    """Chain details; a trigger whose chain is not found stands for itself. ``own=False`` leaves the errors out."""
     found = F.col("total_errors").isNotNull()
     return F.struct(
         "session_id",
-        F.when(found, errors).otherwise(F.array(trigger_as_error())).alias("errors"),
+        *([F.when(found, errors).otherwise(F.array(trigger_as_error())).alias("errors")] if own else []),
         F.coalesce("total_errors", F.lit(1)).alias("total_errors"),
         "impact_level",
         F.when(found, F.struct(*chains.BREAKDOWN)).alias("severity_breakdown"),
     )
 
 
-def root_cause_records(
-    nodes: DataFrame,
-    pool: DataFrame,
-    model_output: DataFrame | None = None,
-    size: int = SEGMENT_ROWS,
-) -> DataFrame:
-    """One record per trigger, with its error chain.
+def _with_model_output(context: DataFrame, model_output: DataFrame | None) -> DataFrame:
+    """Triggers with ``llm_initial_analysis`` and ``llm_recommendations``; given output, those without an analysis are left out."""
+    if model_output is None:
+        return context.withColumns({"llm_initial_analysis": F.lit(None).cast(ANALYSIS), "llm_recommendations": F.lit(None).cast(RECOMMENDATIONS)})
+    known = model_output.where(F.col("llm_initial_analysis").isNotNull())
+    return context.join(known.select("session_id", "llm_initial_analysis", "llm_recommendations"), "session_id")
+
+
+def root_cause_records(nodes: DataFrame, pool: DataFrame, model_output: DataFrame | None = None, size: int = LIST_ITEMS) -> DataFrame:
+    """One record per trigger, with its error chain; the errors of a chain of more than ``size`` are NULL here.
 
     ``model_output`` has ``session_id`` and, as structs, ``llm_initial_analysis`` and
-    ``llm_recommendations``; sessions without an analysis are then left out. A chain of
-    more than ``size`` errors continues in further rows (``segment_no``).
+    ``llm_recommendations``; sessions without an analysis are then left out.
     """
-    context = trigger_context(chains.trigger_errors(pool), nodes, pool)
-    if model_output is None:
-        analysis = F.lit(None).cast(ANALYSIS)
-        advice = F.lit(None).cast(RECOMMENDATIONS)
-    else:
-        context = context.join(
-            model_output.where(F.col("llm_initial_analysis").isNotNull()).select(
-                "session_id", "llm_initial_analysis", "llm_recommendations"
-            ),
-            "session_id",
-        )
-        analysis, advice = F.col("llm_initial_analysis"), F.col("llm_recommendations")
-    return chains.with_chain_errors(context, pool, size).select(
-        *scalar_fields(),
-        F.coalesce("segment_no", F.lit(0)).alias("segment_no"),
-        _chain(F.col("errors")).alias("full_error_chain_details_for_context"),
-        analysis.alias("llm_initial_analysis"),
-        advice.alias("llm_recommendations"),
+    context = _with_model_output(trigger_context(chains.trigger_errors(pool), nodes, pool), model_output)
+    rows = context.join(chains.chain_errors(pool, size).drop("n_items"), "session_id", "left")
+    return rows.select(
+        *scalar_fields(), _chain(F.col("errors")).alias("full_error_chain_details_for_context"), "llm_initial_analysis", "llm_recommendations"
     )
 
 
+def root_cause_objects(nodes: DataFrame, pool: DataFrame, model_output: DataFrame | None = None, timestamp: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``{session_id, timestamp, root_causes[]}`` as marks and pieces for ``objects.write_objects``, with errors of any number."""
+    rows = _with_model_output(trigger_context(chains.trigger_errors(pool), nodes, pool), model_output)
+    now = F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss") if timestamp is None else timestamp
+    found = F.col("total_errors").isNotNull()
+    chain = opened(_chain(F.array().cast("array<string>"), own=False))
+    head = F.concat(
+        opened(F.struct("session_id", now.alias("timestamp"))), F.lit(',"root_causes":['),
+        opened(F.struct(*scalar_fields())), F.lit(',"full_error_chain_details_for_context":'), chain, F.lit(',"errors":['),
+        F.when(found, "").otherwise(item(trigger_as_error())),
+    )
+    given = opened(F.struct("llm_initial_analysis", "llm_recommendations"))
+    end = F.concat(F.lit("]},"), F.substring(given, F.lit(2), F.length(given)), F.lit("}]}"))
+    marks = rows.select("session_id", F.array(head, end).alias("marks"), found.alias("found"))
+    items = chains.error_pieces(pool, 0).join(marks.where("found").select("session_id"), "session_id", "left_semi")
+    return marks.drop("found"), items
+
+
 def _detail(label: str, value: Column | str, default: str) -> Column:
     value = F.col(value) if isinstance(value, str) else value
     return F.concat(F.lit(f"- {label}: "), F.coalesce(value, F.lit(default)))
 
 
-def rca_context(
-    nodes: DataFrame, pool: DataFrame, doc_context: str = "", size: int = SEGMENT_ROWS
-) -> DataFrame:
+def rca_context(nodes: DataFrame, pool: DataFrame, doc_context: str = "", size: int = LIST_ITEMS) -> DataFrame:
     """The facts about each trigger as one text: details, error chain as JSON, documentation.
 
-    A long chain continues in further rows, each with the details.
+    A chain of more than ``size`` errors is given by its header, with ``null`` for the errors.
     """
     context = trigger_context(chains.trigger_errors(pool), nodes, pool)
-    rows = chains.with_chain_errors(context, pool, size)
+    rows = context.join(chains.chain_errors(pool, size).drop("n_items"), "session_id", "left")
     text = F.concat_ws(
         "\n",
         _detail("Session ID", "session_id", "unknown"),
@@ -150,7 +155,7 @@ def rca_context(
         F.lit("Documentation:"),
         F.lit(doc_context),
     )
-    return rows.select("session_id", F.coalesce("segment_no", F.lit(0)).alias("segment_no"), text.alias("context"))
+    return rows.select("session_id", text.alias("context"))
 
 
 def recommendation_context(

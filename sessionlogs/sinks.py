@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlogs import chains, rootcause
+from sessionlogs.objects import PART_PIECES, write_objects
 from sessionlogs.parse import iso_time, route, utc_clock
 from sessionlogs.sources import LINE_ORDER
 
@@ -58,26 +60,18 @@ def write_routed_lines(lines: DataFrame, path: str) -> None:
     )
 
 
-def _write_sessions(rows: DataFrame, path: str, folder_per_session: bool) -> None:
-    writer = rows.hint("rebalance", "session_id").write.mode("append").option("ignoreNullFields", False)
-    if folder_per_session:
-        writer = writer.partitionBy("session_id")
-    writer.json(path)
+def write_rows(rows: DataFrame, path: str) -> None:
+    """Rows that have a ``session_id`` as JSON lines, those of a session together; a large one is split over several files."""
+    rows.hint("rebalance", "session_id").write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_full_analysis(rows: DataFrame, path: str, folder_per_session: bool = False) -> None:
-    """Analysis rows that have a ``session_id`` as JSON lines, without root causes.
+def write_full_analysis(nodes: DataFrame, pool: DataFrame, path: str, folder_per_session: bool = False, most: int = PART_PIECES) -> None:
+    """The correlation of each session as one JSON object, without root causes, however many calls and errors it has."""
+    write_objects(*chains.correlation_objects(nodes, pool), "session_id", path, most, folder_per_session)
 
-    ``folder_per_session`` suits few sessions; one folder for each of millions does not.
-    """
-    _write_sessions(rows.drop("root_causes"), path, folder_per_session)
 
-
-def write_root_causes(root_causes: DataFrame, path: str, folder_per_session: bool = False) -> None:
-    """Root-cause files ``{session_id, timestamp, root_causes[]}`` for sessions that have any."""
-    rows = (
-        root_causes.select("session_id", "segment_no", F.array(F.struct("*")).alias("root_causes"))
-        .withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"))
-        .where(F.size("root_causes") > 0)
-    )
-    _write_sessions(rows, path, folder_per_session)
+def write_root_causes(
+    nodes: DataFrame, pool: DataFrame, path: str, model_output: DataFrame | None = None, folder_per_session: bool = False, most: int = PART_PIECES
+) -> None:
+    """``{session_id, timestamp, root_causes[]}`` as one JSON object for each session that has a trigger."""
+    write_objects(*rootcause.root_cause_objects(nodes, pool, model_output), "session_id", path, most, folder_per_session)

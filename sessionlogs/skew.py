@@ -17,7 +17,10 @@ from sessionlogs.stage import materialise
 
 # monotonically_increasing_id() keeps the partition number above bit 33.
 RANGE_BITS = 33
-SEGMENT_ROWS = 1000
+#: Items of a list that is one value of a row; longer ones are NULL there and read from the flat tables or files.
+LIST_ITEMS = 100_000
+#: Items of a text that is one value; longer ones continue in further rows.
+SEGMENT_ROWS = 100_000
 HOT_ROWS = 1_000_000
 # At most this many keys can exceed rows / MAX_HOT_KEYS, so the hot table is bounded.
 MAX_HOT_KEYS = 100_000
@@ -85,6 +88,22 @@ def segments(
     )
 
 
+def lists(df: DataFrame, keys: list[str], seq: str, value: Column, name: str, size: int = LIST_ITEMS) -> DataFrame:
+    """One row per key: ``n_items`` and the list of ``value`` in the order of ``seq``, NULL if it has more than ``size`` items.
+
+    Only lists within ``size`` are gathered, so no task holds a larger one.
+    """
+    rows = df.select(*keys, seq, value.alias("_value"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items")).where(F.col("n_items") > size)
+    big = materialise(counts, "long_lists")
+    some = not big.isEmpty()
+    if some:
+        rows = rows.join(big, keys, "left_anti")
+    gathered = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"), F.sort_array(F.collect_list(F.struct(seq, "_value"))).alias("_items"))
+    found = gathered.select(*keys, "n_items", F.col("_items._value").alias(name))
+    return found.unionByName(big, allowMissingColumns=True) if some else found
+
+
 def hot_keys(df: DataFrame, keys: list[str], total: int, floor: int = HOT_ROWS) -> DataFrame | None:
     """Keys holding more than ``max(floor, total / MAX_HOT_KEYS)`` rows, with a fan-out each.
 

@@ -148,13 +148,8 @@ def test_hot_parents_are_salted_without_changing_results(spark):
     plain = chains.error_pool(a.positions, a.nodes).drop("chain_seq")
     salted = chains.error_pool(a.positions, a.nodes, hot_rows=3).drop("chain_seq")
     assert sorted(map(tuple, salted.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-    plain = chains.correlation_records(a.nodes, a.pool, size=4).collect()
-    salted = chains.correlation_records(a.nodes, a.pool, size=4, hot_rows=3).collect()
-    assert sorted(salted, key=str) == sorted(plain, key=str)
-    triggers = chains.trigger_errors(a.pool).select("session_id", "message")
-    plain = chains.with_chain_errors(triggers, a.pool, size=4).collect()
-    salted = chains.with_chain_errors(triggers, a.pool, size=4, hot_rows=3).collect()
-    assert sorted(salted, key=str) == sorted(plain, key=str)
+    plain, salted = (calltree.call_pieces(a.nodes, 0, hot_rows=n).collect() for n in (10**6, 3))
+    assert sorted(map(tuple, salted), key=str) == sorted(map(tuple, plain), key=str)
 
 
 def test_hot_keys_counts_and_fans_out(spark):
@@ -200,16 +195,8 @@ def test_ranks_run_across_ranges(spark):
     assert got == [("a", i) for i in range(1, 21)] + [("b", 1)]
 
 
-def test_nested_records_in_segments_keep_everything(spark):
-    n = 23
-    lines = [line(0, "INFO", "User logged in session_id=s URC=urc-a-b-s-0")]
-    lines += [line(1, "INFO", f"Request received, URC=urc-a-b-s-{i}, UID=urc-a-b-s-0") for i in range(1, n)]
-    lines += [line(2, "ERROR", f"bad thing {i}, URC=urc-a-b-s-{i}") for i in range(1, n)]
-    a = analysis_of(spark, lines)
-    rows = sorted(chains.correlation_records(a.nodes, a.pool, size=5).collect(), key=lambda r: r.segment_no)
-    assert all(len(r.api_calls) <= 5 for r in rows)
-    calls = [c for r in rows for c in r.api_calls]
-    assert [k for c in calls if c.urc == "urc-a-b-s-0" for k in c.children] == [f"urc-a-b-s-{i}" for i in range(1, n)]
-    assert {c.urc for c in calls} == {f"urc-a-b-s-{i}" for i in range(n)}
-    errors = [e.message for r in rows for c in r.error_chains for e in c.errors]
-    assert errors == [f"bad thing {i}, URC=urc-a-b-s-{i}" for i in range(1, n)]
+def test_lists_are_whole_or_null(spark):
+    df = spark.range(0, 50, 1, 8).select(F.when(F.col("id") < 37, "big").otherwise("small").alias("k"), F.col("id").alias("v"))
+    for size, big in ((50, list(range(37))), (20, None)):
+        got = {r.k: (r.n_items, r.vs) for r in skew.lists(df.repartition(8), ["k"], "v", F.col("v"), "vs", size).collect()}
+        assert got == {"big": (37, big), "small": (13, list(range(37, 50)))}

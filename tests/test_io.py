@@ -167,16 +167,15 @@ def test_dedup_keeps_the_first_copy(spark):
 
 def test_result_files(spark, log_files, tmp_path):
     a = analyse(spark, log_files=log_files)
-    sinks.write_full_analysis(a.correlations(), str(tmp_path / "full"), folder_per_session=True)
-    sinks.write_root_causes(a.root_causes(), str(tmp_path / "causes"))
+    sinks.write_full_analysis(a.nodes, a.pool, str(tmp_path / "full"), folder_per_session=True)
+    sinks.write_root_causes(a.nodes, a.pool, str(tmp_path / "causes"))
     full = spark.read.json(str(tmp_path / "full")).collect()
     assert [(r.session_id, r.root_urc, r.metrics.total_calls) for r in full] == [("s1", "urc-root-s1", 2)]
     assert os.path.isdir(tmp_path / "full" / "session_id=s1")
     causes = spark.read.json(str(tmp_path / "causes")).collect()
     assert [len(r.root_causes) for r in causes] == [1]
-    empty = a.root_causes().where("1 = 0")
-    sinks.write_root_causes(empty, str(tmp_path / "none"))
-    assert not [f for f in os.listdir(tmp_path / "none") if f.endswith(".json") and os.path.getsize(tmp_path / "none" / f)]
+    sinks.write_root_causes(a.nodes, a.pool.where("1 = 0"), str(tmp_path / "none"))
+    assert not [f for f in os.listdir(tmp_path / "none") if f.startswith("part-") and os.path.getsize(tmp_path / "none" / f)]
 
 
 def test_whole_analysis_is_written(spark, log_files, tmp_path):
