@@ -41,7 +41,7 @@ class Analysis:
 
     def raw_logs(self) -> DataFrame:
         """Deduplicated records of the sessions, under the field names of an index."""
-        return sinks.to_indexed(self.positions, "source_bucket")
+        return sinks.to_indexed(self.positions, "source_bucket").drop("ts")
 
     def write(self, path: str, model_output: DataFrame | None = None) -> None:
         """Write the full analysis and the root causes as JSON lines below ``path``, one object per session."""

@@ -248,6 +248,7 @@ ORACLES: dict[str, str] = {
     "scan_log_text": _recs(f"{_TS}, level, service, message"),
     "service_from_path": "select page_id, regexp_extract(url, '([^/.]*)[^/]*$', 1) as service from pages",
     "scan_indexed_docs": _recs(f"line_no, session_id, {_TS}, level, service, message", f"where {_RANGE}"),
+    "scan_stored_fields": _recs("line_no, urc, error_type, duration_ms", f"where {_RANGE}"),
     "sink_structured_docs": _recs(
         "cast(cast(ts as date) as varchar) as event_date, count(*) as n_docs, count(session_id) as n_with_session",
         "group by 1",

@@ -188,6 +188,12 @@ def evaluated_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: The fields that ``with_message_fields`` adds.
+MESSAGE_FIELDS = [
+    "is_login", "is_request", "is_response", "urc", "uid", "cif_id", "transaction_type", "api_endpoint", "error_type", "severity", "metrics",
+]
+
+
 def with_message_fields(records: DataFrame, infer_session: bool | None = None) -> DataFrame:
     """Add the fields held in ``message`` and ``level``; absent ones are NULL.
 

@@ -115,6 +115,11 @@ def scan_indexed_docs(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("line_no", "session_id", _iso(), "level", "service", "message")
 
 
+def scan_stored_fields(spark: SparkSession, folder: str) -> DataFrame:
+    docs = sources.scan_indexed_docs(spark, _index(spark, folder), RANGE_START, RANGE_END)
+    return docs.select("line_no", "urc", "error_type", F.col("metrics.duration_ms").alias("duration_ms"))
+
+
 def sink_structured_docs(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(_index(spark, folder))
     return docs.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
@@ -186,7 +191,7 @@ def flatten_record(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reparse_on_read(spark: SparkSession, folder: str) -> DataFrame:
-    docs = sources.scan_indexed_docs(spark, _index(spark, folder))
+    docs = sources.scan_indexed_docs(spark, _index(spark, folder), reparse=True)
     return docs.select(
         "line_no", "session_id", "urc", "uid", "error_type", F.col("metrics.duration_ms").alias("duration_ms")
     )
@@ -575,6 +580,7 @@ QUERIES: dict[str, Query] = {
     "scan_log_text": scan_log_text,
     "service_from_path": service_from_path,
     "scan_indexed_docs": scan_indexed_docs,
+    "scan_stored_fields": scan_stored_fields,
     "sink_structured_docs": sink_structured_docs,
     "sink_full_analysis": sink_full_analysis,
     "sink_root_causes": sink_root_causes,

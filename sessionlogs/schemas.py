@@ -30,6 +30,8 @@ INDEXED_DOC = T.StructType(
         T.StructField("line_no", T.LongType()),
         # the text of a time that could not be parsed
         T.StructField("ts_raw", T.StringType()),
+        # the same as @timestamp, as a value whose bounds files know
+        T.StructField("ts", T.TimestampType()),
         # partition column, from the folder names
         T.StructField("event_date", T.DateType()),
     ]

@@ -63,6 +63,11 @@ def with_file_bucket(records: DataFrame) -> DataFrame:
     return records.withColumn("source_bucket", service_from_path(F.col("source_file")))
 
 
+def bounds(start: datetime, end: datetime | None = None) -> tuple[datetime, datetime]:
+    """Both ends of a range; without an end it spans two minutes. Times without a zone are in UTC."""
+    return tuple(t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC) for t in (start, end or start + DEFAULT_SPAN))
+
+
 def time_range(
     records: DataFrame,
     start: datetime | None = None,
@@ -77,7 +82,7 @@ def time_range(
         raise ValueError("an end time needs a start time")
     if start is None:
         return records
-    start, end = (t.astimezone(UTC) if t.tzinfo else t.replace(tzinfo=UTC) for t in (start, end or start + DEFAULT_SPAN))
+    start, end = bounds(start, end)
     time = F.col("ts") if time is None else time
     if "event_date" in records.columns:
         # whole days first, by partition; documents stored without days have none
@@ -94,12 +99,27 @@ def earliest(records: DataFrame, max_results: int | None) -> DataFrame:
 
 
 def indexed_time() -> Column:
-    return F.try_to_timestamp(F.col("`@timestamp`"))
+    """Time of a stored document: its value, or the text of one that was stored without it."""
+    return F.coalesce("ts", F.try_to_timestamp(F.col("`@timestamp`")))
+
+
+def _stored_range(docs: DataFrame, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Documents within the range. Days are skipped by their folders, files and row groups by the bounds of ``ts``;
+    only documents without it are kept until their text is read."""
+    within = time_range(docs, start, end, indexed_time())
+    if start is None:
+        return within
+    low, high = bounds(start, end)
+    return within.where(F.col("ts").isNull() | F.col("ts").between(F.lit(low), F.lit(high)))
+
 
+def from_indexed(docs: DataFrame, reparse: bool = False) -> DataFrame:
+    """Indexed documents to records.
 
-def from_indexed(docs: DataFrame) -> DataFrame:
-    """Indexed documents to records. Message fields are read again; the session id is taken as
-    stored, or from the message for documents that were stored without message fields."""
+    Fields are taken as stored; only documents that were stored without message fields are parsed, which is a branch of
+    its own, so that others are read without their messages unless these are asked for. ``reparse`` parses
+    all messages again. A stored session id stays, also where only call ids imply it.
+    """
     order = {
         "source_idx": F.lit(0),
         "file_idx": F.lit(0),
@@ -109,21 +129,20 @@ def from_indexed(docs: DataFrame) -> DataFrame:
     }
     order_cols = [F.coalesce(F.col(n), c).alias(n) for n, c in order.items()]
     message = F.coalesce(F.col("message"), F.lit(""))
-    ts = indexed_time()
-    return parse.reparse(
-        docs.select(
-            *order_cols,
-            F.when(F.col("is_login").isNull(), parse.session_id(message))
-            .otherwise(F.col("session_id"))
-            .alias("session_id"),
-            "ts_raw",
-            ts.alias("ts"),
-            ts.isNull().alias("ts_invalid"),
-            F.col("`log.level`").alias("level"),
-            F.col("`service.name`").alias("service"),
-            message.alias("message"),
-        )
-    )
+    stored = F.col("is_login").isNotNull()
+
+    def fields(session: Column) -> list[Column]:
+        ts = indexed_time()
+        return [
+            *order_cols, session.alias("session_id"), F.col("ts_raw"), ts.alias("ts"), ts.isNull().alias("ts_invalid"),
+            F.col("`log.level`").alias("level"), F.col("`service.name`").alias("service"), message.alias("message"),
+        ]
+
+    if reparse:
+        session = F.when(stored, F.col("session_id")).otherwise(parse.session_id(message))
+        return parse.reparse(docs.select(fields(session)))
+    parsed = docs.where(stored).select(*fields(F.col("session_id")), *parse.MESSAGE_FIELDS)
+    return parsed.unionByName(parse.reparse(docs.where(~stored).select(fields(parse.session_id(message)))))
 
 
 def scan_indexed_docs(
@@ -133,10 +152,11 @@ def scan_indexed_docs(
     end: datetime | None = None,
     max_results: int | None = None,
     fmt: str = "parquet",
+    reparse: bool = False,
 ) -> DataFrame:
     """Structured documents written by ``sinks.write_index``, as records."""
     docs = spark.read.format(fmt).schema(INDEXED_DOC).load(path)
-    records = from_indexed(time_range(docs, start, end, indexed_time()))
+    records = from_indexed(_stored_range(docs, start, end), reparse)
     return earliest(records.withColumn("source_bucket", F.lit(INDEX_BUCKET)), max_results)
 
 

@@ -1,4 +1,6 @@
 import os
+import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -80,6 +82,62 @@ def test_index_round_trip_and_reload(spark, log_files, tmp_path, fmt):
         assert "event_date" in scan._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
+def scans_of(df):
+    """Of each file scan of the plan, its pushed filters and its read schema."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.maxMetadataStringLength", "4000")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    conf.unset("spark.sql.maxMetadataStringLength")
+    return re.findall(r"PushedFilters: \[(.*?)\], ReadSchema: struct<(.*?)>\s", plan + "\n")
+
+
+@pytest.fixture
+def many_files(spark):
+    """Small tables keep the partitions that large ones have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_index_is_read_by_time_and_field(spark, tmp_path, many_files):
+    """A day of 4000 records: bounds reach the scan, narrow ranges leave most row groups out, stored fields need no message."""
+    lines = [(0, 0, "f", 0, i, f"[2024-03-20 {i // 200:02d}:{i // 4 % 50:02d}:0{i % 4}] [INFO] s: text {i}, URC=urc-a-b-s-{i}") for i in range(4000)]
+    schema = "source_idx int, file_idx int, source_file string, block_start bigint, line_no bigint, value string"
+    path = str(tmp_path / "index")
+    sinks.write_index(parse.parse_lines(spark.createDataFrame(lines, schema).repartition(7, "line_no")), path)
+    start, end = datetime(2024, 3, 20, 7, 10), datetime(2024, 3, 20, 7, 19, 59)
+    found = sources.scan_indexed_docs(spark, path, start, end)
+    assert found.count() == 40 == found.where("ts_raw is null and not ts_invalid").count()
+    stored, plain = scans_of(found.select("urc"))
+    for pushed, _ in (stored, plain):
+        assert "GreaterThanOrEqual(ts,2024-03-20" in pushed and "LessThanOrEqual(ts,2024-03-20" in pushed
+    assert "IsNotNull(is_login)" in stored[0] and "IsNull(is_login)" in plain[0]
+    assert "urc" in stored[1] and "message" not in stored[1]
+    times = [(r[0], r[1]) for r in spark.read.parquet(path).groupBy("_metadata.file_path").agg(F.min("ts"), F.max("ts")).select("min(ts)", "max(ts)").collect()]
+    assert len(times) > 1 and all(a[1] <= b[0] for a, b in zip(sorted(times), sorted(times)[1:]))
+
+
+def test_one_crowded_second_is_split_over_files(spark, tmp_path, many_files):
+    lines = [(0, 0, "f", 0, i, f"[2024-03-20 10:00:00] [INFO] s: text {i}") for i in range(4000)]
+    schema = "source_idx int, file_idx int, source_file string, block_start bigint, line_no bigint, value string"
+    path = str(tmp_path / "index")
+    sinks.write_index(parse.parse_lines(spark.createDataFrame(lines, schema)), path)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_metadata.file_path").count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 1 and max(sizes) < 2000
+
+
+def test_stored_and_parsed_documents_side_by_side(spark, log_files, tmp_path):
+    records = parse.parse_lines(sources.scan_log_text(spark, log_files))
+    path = str(tmp_path / "index")
+    sinks.write_index(records, path, "json")
+    plain = spark.read.json(path).select("`@timestamp`", "`log.level`", "`service.name`", "message")
+    plain.write.mode("append").json(f"{path}/event_date=2024-03-20")
+    names = ["session_id", "urc", "uid", "error_type", "severity", "is_login", "is_request", "is_response", "metrics", "message", "ts"]
+    for reparse in (False, True):
+        rows = sources.scan_indexed_docs(spark, path, fmt="json", reparse=reparse).select(*names).collect()
+        assert len(rows) == 12 and all(n % 2 == 0 for n in Counter(map(str, rows)).values())
+
+
 def test_plain_documents_are_parsed_when_read(spark, tmp_path):
     path = tmp_path / "plain"
     path.mkdir()
