@@ -7,6 +7,8 @@ the last level. ``attach_seq`` is the position at which a node starts to exist.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +29,14 @@ def session_roots(positions: DataFrame, by_input_order: bool = False) -> DataFra
     "First" is by time; ``by_input_order`` takes file order instead, as for
     sources that are not read in time order.
     """
-    order = LINE_ORDER if by_input_order else ["seq"]
-    return (
-        positions.where(F.col("is_login") & F.col("urc").isNotNull())
-        .groupBy("session_id")
-        .agg(F.min(F.struct(*order, F.col("urc").alias("root_urc"), F.col("seq").alias("login_seq"))).alias("r"))
-        .select("session_id", "r.root_urc", "r.login_seq")
-    )
+    logins = positions.where(F.col("is_login") & F.col("urc").isNotNull())
+    if by_input_order:
+        first = F.min(F.struct(*LINE_ORDER, F.col("seq").alias("login_seq"))).alias("r")
+        firsts = logins.groupBy("session_id").agg(first).select("session_id", "r.login_seq")
+    else:
+        firsts = logins.groupBy("session_id").agg(F.min("seq").alias("login_seq"))
+    named = logins.select("session_id", F.col("urc").alias("root_urc"), F.col("seq").alias("login_seq"))
+    return firsts.join(named, ["session_id", "login_seq"]).select("session_id", "root_urc", "login_seq")
 
 
 def requests(positions: DataFrame) -> DataFrame:
@@ -78,9 +81,33 @@ def _grow(reqs: DataFrame, nodes: DataFrame, roots: DataFrame, hot: DataFrame |
     )
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
+def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Sessions whose nodes differ."""
     keys = ["session_id", "urc", "level", "attach_seq"]
-    return a.count() == b.count() and a.join(b, keys, "left_anti").isEmpty()
+    lost, new = before.join(after, keys, "left_anti"), after.join(before, keys, "left_anti")
+    return lost.select("session_id").unionByName(new.select("session_id")).distinct()
+
+
+def _by_levels(reqs: DataFrame, roots: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Nodes of sessions in which every id names one parent.
+
+    A round meets all requests with the nodes of the last level alone. An id has one parent, so it is found in that one's round
+    or never, and its earliest request after the parent decides; only the root's own id can come up again.
+    """
+    frontier = roots.select("session_id", "urc", "level", "attach_seq")
+    nodes = frontier
+    for level in range(1, MAX_LEVEL + 1):
+        parents = frontier.select("session_id", F.col("urc").alias("uid"), "attach_seq")
+        met = join_many_to_one(reqs, parents, ["session_id", "uid"], "seq", hot).where(F.col("seq") > F.col("attach_seq"))
+        found = met.groupBy("session_id", "urc").agg(F.min("seq").alias("attach_seq"))
+        found = found.join(roots.select("session_id", "urc"), ["session_id", "urc"], "left_anti")
+        frontier = materialise(found.select("session_id", "urc", F.lit(level).alias("level"), "attach_seq"), "level")
+        if frontier.isEmpty():
+            break
+        nodes = nodes.unionByName(frontier)
+    # a position is one request, so its parent's id is looked up once, at the end
+    named = reqs.select("session_id", F.col("seq").alias("attach_seq"), F.col("uid").alias("parent_urc"))
+    return nodes.join(named, ["session_id", "attach_seq"], "left").select(*NODE)
 
 
 def call_tree(
@@ -88,47 +115,44 @@ def call_tree(
 ) -> DataFrame:
     """Nodes of all sessions, written once.
 
-    Where each id names one parent, level k is final after round k. A session in
-    which an id names several parents is repeated until a round changes nothing:
+    Sessions in which every id names one parent are built level by level. One in
+    which an id names several parents is decided again until a round changes nothing in it:
     after n rounds every decision up to the n-th record is final, so that always ends.
     """
-    reqs = requests(positions)
+    reqs = materialise(requests(positions), "requests")
     roots = materialise(root_nodes(session_roots(positions, by_input_order)), "roots")
     total = positions.count()
     hot = hot_keys(reqs, ["session_id", "uid"], total, hot_rows)
-
-    def rounds(reqs: DataFrame, roots: DataFrame) -> DataFrame:
-        nodes = roots
-        for _ in range(MAX_LEVEL):
-            nodes = _grow(reqs, nodes, roots, hot)
-        return materialise(nodes, "nodes")
-
-    nodes = rounds(reqs, roots)
     several = materialise(
         reqs.groupBy("session_id", "urc")
-        .agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"))
+        .agg(F.min(F.xxhash64("uid")).alias("lo"), F.max(F.xxhash64("uid")).alias("hi"))
         .where(F.col("lo") != F.col("hi"))
         .select("session_id")
         .distinct(),
         "several_parents",
     )
     if several.isEmpty():
-        return nodes
+        return materialise(_by_levels(reqs, roots, hot), "nodes")
     big = hot_keys(reqs, ["session_id"], total, hot_rows)
 
-    def of_several(rows: DataFrame, spread: str, how: str = "left_semi") -> DataFrame:
-        return join_many_to_one(rows, several, ["session_id"], spread, big, how)
+    def of(rows: DataFrame, sessions: DataFrame, spread: str, how: str = "left_semi") -> DataFrame:
+        return join_many_to_one(rows, sessions, ["session_id"], spread, big, how)
 
-    reqs = materialise(of_several(reqs, "seq"), "requests")
-    roots = roots.join(several, "session_id", "left_semi")
-    settled = of_several(nodes, "attach_seq")
+    simple = materialise(of(reqs, several, "seq", "left_anti"), "requests")
+    done = [_by_levels(simple, roots.join(several, "session_id", "left_anti"), hot)]
+    reqs, roots = materialise(of(reqs, several, "seq"), "requests"), roots.join(several, "session_id", "left_semi")
+    nodes = roots
     while True:
-        after = materialise(_grow(reqs, settled, roots, hot), "nodes")
-        if _same(after, settled):
+        after = materialise(_grow(reqs, nodes, roots, hot), "nodes")
+        changed = materialise(_changed(nodes, after), "changed")
+        if changed.isEmpty():
+            done.append(after)
             break
-        settled = after
-    single = of_several(nodes, "attach_seq", "left_anti")
-    return materialise(single.unionByName(settled), "nodes")
+        # sessions are independent of one another: those without a change are final
+        done.append(of(after, changed, "attach_seq", "left_anti"))
+        nodes = of(after, changed, "attach_seq")
+        reqs, roots = materialise(of(reqs, changed, "seq"), "requests"), roots.join(changed, "session_id", "left_semi")
+    return materialise(reduce(DataFrame.unionByName, done), "nodes")
 
 
 def orphans(positions: DataFrame, nodes: DataFrame) -> DataFrame:
