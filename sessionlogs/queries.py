@@ -434,6 +434,11 @@ def topk_similar(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.topk_similar(_table(spark, folder, "embeddings"), queries, retrieval.CONTEXT_K)
 
 
+def topk_approximate(spark: SparkSession, folder: str) -> DataFrame:
+    queries = label_vectors(spark, folder)
+    return retrieval.topk_approximate(_table(spark, folder, "embeddings"), queries, retrieval.CONTEXT_K)
+
+
 def relevant_context(spark: SparkSession, folder: str) -> DataFrame:
     contents = _table(spark, folder, "documents").select(
         F.col("doc_id").alias("vec_id"), F.col("text").alias("content")
@@ -648,6 +653,7 @@ QUERIES: dict[str, Query] = {
     "chunk_recursive": chunk_recursive,
     "replace_session_docs": replace_session_docs,
     "topk_similar": topk_similar,
+    "topk_approximate": topk_approximate,
     "relevant_context": relevant_context,
     "text_to_vector": text_to_vector,
     "documentation_context": documentation_context,

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 import sys
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +46,10 @@ BEST_PRACTICE_QUERIES = [
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 VECTOR_SIZE = 256
-QUERY_BATCH = 1000
+#: Rows of a block of chunks and of queries, and queries scored at once.
+CHUNK_BLOCK = 20_000
+QUERY_BLOCK = 20_000
+QUERY_STEP = 250
 SCORE_DIGITS = 6
 
 
@@ -148,72 +150,93 @@ def replace_session_docs(chunks: DataFrame, path: str) -> None:
     )
 
 
-def _batches(queries: DataFrame) -> Iterator[list]:
-    """Query rows in batches of about QUERY_BATCH, each small enough to send to all tasks."""
-    n = queries.count()
-    parts = max(1, math.ceil(n / QUERY_BATCH))
-    for part in range(parts):
-        mine = F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part
-        yield queries.where(mine).select("query_id", "embedding").collect()
-
-
 def _unit(rows: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
-def _best(query_ids: list, scores: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a table of scores (one column per query), ties by id."""
-    frames = []
-    for q, query_id in enumerate(query_ids):
-        top = np.lexsort((ids, -scores[:, q]))[:k]
-        frames.append(pd.DataFrame({"query_id": query_id, "vec_id": ids[top], "score": scores[top, q]}))
-    return pd.concat(frames, ignore_index=True)
+def _vectors(table: pa.Table, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of a block by number of elements; vectors that are NULL or have NULLs are left out."""
+    vectors = table.column("embedding").combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    usable = sizes > 0
+    usable[pc.list_parent_indices(vectors).filter(vectors.flatten().is_null()).to_numpy()] = False
+    found = {}
+    for size in np.unique(sizes[usable]):
+        part = table.filter(pa.array(usable & (sizes == size)))
+        flat = part.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        found[int(size)] = part.column(name).to_numpy(), _unit(flat.astype(np.float64).reshape(part.num_rows, -1))
+    return found
+
+
+def _best_of_blocks(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The k best chunks of one block for every query of another, ties by id."""
+
+    def best(chunks: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        asked = _vectors(queries, "query_id")
+        for size, (ids, rows) in _vectors(chunks, "vec_id").items():
+            query_ids, vectors = asked.get(size, (np.zeros(0, np.int64), np.zeros((0, size))))
+            order = np.argsort(ids, kind="stable")
+            ids, rows = ids[order], rows[order]
+            for at in range(0, len(query_ids), QUERY_STEP):
+                scores = np.round(vectors[at : at + QUERY_STEP] @ rows.T, SCORE_DIGITS) + 0.0
+                for query_id, own in zip(query_ids[at : at + QUERY_STEP].tolist(), scores, strict=True):
+                    # what reaches the k-th best score, in the order of ids: a stable sort settles ties
+                    near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    top = near[np.argsort(-own[near], kind="stable")[:k]]
+                    out.append((np.full(len(top), query_id), ids[top], own[top]))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    return best
+
+
+def _ranked(scores: DataFrame, k: int) -> DataFrame:
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranks = scores.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
+    return ranks.select("query_id", "rank", "vec_id", "score")
 
 
 def topk_similar(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """The ``k`` chunks most similar (cosine) to each query: ``query_id, rank, vec_id, score``.
 
     ``chunks`` has ``vec_id`` (BIGINT) and ``embedding``, ``queries`` has ``query_id`` (BIGINT)
-    and ``embedding``. Every chunk is scored where it is stored, by one matrix
-    product per Arrow batch; a batch passes on only its k best per query. Queries without a vector
-    get no rows; chunks whose vector is NULL, has NULLs or another length than the queries' are left out, see
-    ``unusable_vectors``.
+    and ``embedding``. Both are read once and dealt into blocks of bounded size; every block of chunks meets every block of
+    queries in a task of its own, by matrix products, and passes on its k best per query. Neither side goes through the driver.
+    Queries without a vector get no rows; chunks whose vector is NULL, has NULLs or another length than a query's are left
+    out for it, see ``unusable_vectors``.
     """
-    queries = queries.where(F.col("embedding").isNotNull())
-    schema = "query_id bigint, vec_id bigint, score double"
-    out = None
-    for batch in _batches(queries):
-        if not batch:
-            continue
-        query_ids = [r.query_id for r in batch]
-        matrix = _unit(np.array([r.embedding for r in batch], dtype=np.float64)).T
-
-        def score(it: Iterator[pa.RecordBatch], query_ids=query_ids, matrix=matrix):
-            for b in it:
-                vectors = b.column("embedding")
-                usable = pc.equal(pc.list_value_length(vectors), len(matrix)).fill_null(False).to_numpy(zero_copy_only=False)
-                holed = pc.list_parent_indices(vectors).filter(vectors.flatten().is_null()).to_numpy()
-                usable[holed] = False
-                b = b.filter(pa.array(usable))
-                if b.num_rows == 0:
-                    continue
-                flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                rows = _unit(flat.astype(np.float64).reshape(b.num_rows, -1))
-                scores = np.round(rows @ matrix, SCORE_DIGITS) + 0.0
-                ids = b.column("vec_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pandas(_best(query_ids, scores, ids, k), preserve_index=False)
-
-        part = chunks.select("vec_id", "embedding").mapInArrow(score, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = chunks.sparkSession.createDataFrame([], schema)
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        out.withColumn("rank", F.row_number().over(best_first))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    queries = materialise(queries.where(F.size("embedding") > 0).select("query_id", "embedding"), "queries")
+    n_chunks, n_queries = chunks.select("vec_id").count(), queries.count()
+    parts, blocks = (max(1, -(-n // size)) for n, size in ((n_chunks, CHUNK_BLOCK), (n_queries, QUERY_BLOCK)))
+
+    def dealt(rows: DataFrame, name: str, own: int, own_name: str, other: int, other_name: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(own)).cast("int")
+        rows = rows.select(F.col(name), "embedding", place.alias(own_name))
+        return rows.withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other - 1))))
+
+    left = dealt(chunks, "vec_id", parts, "part", blocks, "block").groupBy("part", "block")
+    right = dealt(queries, "query_id", blocks, "block", parts, "part").groupBy("part", "block")
+    return _ranked(left.cogroup(right).applyInArrow(_best_of_blocks(k), "query_id bigint, vec_id bigint, score double"), k)
+
+
+def topk_approximate(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *, width: float = 1.0, tables: int = 12, seed: int = 42) -> DataFrame:
+    """Like ``topk_similar``, but only of chunks that share a bucket with the query: ``tables`` random projections of unit vectors,
+    cut into steps of ``width``. Narrow steps make fewer pairs and find fewer of the nearest. Scores are exact."""
+    unit = F.col("embedding")
+    norm = F.sqrt(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x))
+
+    def prepared(rows: DataFrame, name: str) -> DataFrame:
+        usable = F.coalesce(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()) & (norm > 0), F.lit(False))
+        # written, so that neither conversion nor hashing meets what the filter drops
+        return materialise(rows.where(usable).select(name, F.transform(unit, lambda x: x / norm).alias("unit")), name).withColumn("unit", array_to_vector("unit"))
+
+    left, right = prepared(chunks, "vec_id"), prepared(queries, "query_id")
+    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=seed)
+    pairs = lsh.fit(left).approxSimilarityJoin(left, right, 2.01, distCol="distance")  # 2 is the greatest distance
+    score = F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_DIGITS) + F.lit(0.0)
+    return _ranked(pairs.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.vec_id").alias("vec_id"), score.alias("score")), k)
 
 
 def unusable_vectors(chunks: DataFrame, size: int) -> DataFrame:

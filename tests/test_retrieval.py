@@ -73,7 +73,8 @@ def test_recursive_chunks_equal_brute_force(spark):
 
 
 def test_topk_equals_brute_force_over_many_query_batches(spark, monkeypatch):
-    monkeypatch.setattr(r, "QUERY_BATCH", 3)
+    for name, size in (("QUERY_BLOCK", 4), ("CHUNK_BLOCK", 25), ("QUERY_STEP", 2)):
+        monkeypatch.setattr(r, name, size)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8)).astype("float32")
     x[10] = x[20] = x[30]  # ties
@@ -93,6 +94,28 @@ def test_topk_equals_brute_force_over_many_query_batches(spark, monkeypatch):
     assert r.topk_similar(chunks, queries.where("1 = 0"), 4).count() == 0
 
 
+def test_approximate_topk_finds_nine_of_ten(spark):
+    """Vectors around many centres, as texts of some subjects are; queries near some of them."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.5 * rng.normal(size=(2400, 32))
+    q = centres[rng.integers(0, 60, 80)] + 0.5 * rng.normal(size=(80, 32))
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [None] * 32), (9002, [0.0] * 32)], "vec_id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, embedding array<double>")
+    exact = {(t.query_id, t.vec_id): t.score for t in r.topk_similar(chunks, queries, 10).collect()}
+    near = {(t.query_id, t.vec_id): t.score for t in r.topk_approximate(chunks, queries, 10).collect()}
+    common = exact.keys() & near.keys()
+    assert len(exact) == 800 and len(common) >= 0.9 * len(exact)
+    assert all(abs(exact[c] - near[c]) < 2e-6 for c in common)
+
+
+def test_topk_reads_the_chunks_once(spark, tmp_path):
+    spark.range(50).selectExpr("id as vec_id", "array(cast(id as double), 1.0) as embedding").write.parquet(str(tmp_path / "c"))
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id bigint, embedding array<double>")
+    plan = r.topk_similar(spark.read.parquet(str(tmp_path / "c")), queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [vec_id") == 1
+
+
 def test_pages_join_in_order(spark):
     pages = spark.createDataFrame([(1, i, f"p{i}") for i in (3, 1, 2)] + [(2, 1, "only")], "d int, n int, t string")
     got = {(x.d, x.segment_no): x.text for x in r.page_texts(pages, "d", "n", "t").collect()}
