@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlogs import calltree, chains, parse, rootcause, sessions, sinks, sources
+from sessionlogs import calltree, chains, modeljson, parse, rootcause, sessions, sinks, sources
 
 
 class Analysis:
@@ -43,8 +43,15 @@ class Analysis:
         """Deduplicated records of the sessions, under the field names of an index."""
         return sinks.to_indexed(self.positions, "source_bucket").drop("ts")
 
-    def write(self, path: str, model_output: DataFrame | None = None) -> None:
-        """Write the full analysis and the root causes as JSON lines below ``path``, one object per session."""
+    def write(self, path: str, model_output: DataFrame | None = None, replies: DataFrame | None = None) -> None:
+        """Write the full analysis and the root causes as JSON lines below ``path``, one object per session.
+
+        Instead of ``model_output``, its texts can be given as ``replies`` (see ``modeljson.checked``); those that are no valid
+        answers go to the table ``rejects``.
+        """
+        if replies is not None:
+            model_output, rejects = modeljson.checked(replies)
+            sinks.write_rows(rejects, f"{path}/rejects")
         sinks.write_full_analysis(self.nodes, self.pool, f"{path}/correlations")
         sinks.write_rows(self.log_content(), f"{path}/log_content")
         sinks.write_rows(self.raw_logs(), f"{path}/raw_logs")

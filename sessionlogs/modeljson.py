@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,8 +97,60 @@ def analyses(replies: DataFrame) -> DataFrame:
     )
 
 
-def recommendations(replies: DataFrame) -> DataFrame:
-    """Parsed recommendation lists; a reply that does not parse gives NULL."""
-    return parsed_replies(replies).withColumn(
-        "llm_recommendations", F.when(F.col("parsed_ok"), F.from_json("body", RECOMMENDATIONS))
+def _item_reason(item: Column) -> Column:
+    """Name of the first field of a recommendation that has the wrong kind, NULL if all are right."""
+
+    def kind(name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(item, f"$.{name}", "variant")), F.lit("VOID"))
+
+    def wrong_list(name: str) -> Column:
+        return ~kind(name).isin("VOID", "ARRAY<STRING>", "ARRAY<VOID>")
+
+    ids = "applicable_to_identifiers"
+    wrong_ids = (kind(ids) != "VOID") & (
+        ~kind(ids).startswith("OBJECT") | reduce(Column.__or__, [~kind(f"{ids}.{n}").isin("VOID", "STRING") for n in ("session_id", "service_name", "urc")])
     )
+    return (
+        F.when(~F.coalesce(F.schema_of_variant(item), F.lit("VOID")).startswith("OBJECT"), "item")
+        .when(kind("recommendation_type") != "STRING", "recommendation_type")
+        .when(kind("recommendation_description") != "STRING", "recommendation_description")
+        .when(wrong_list("action_steps"), "action_steps")
+        .when(wrong_list("relevant_documentation"), "relevant_documentation")
+        .when(wrong_ids, ids)
+    )
+
+
+def recommendations(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """Checked recommendation lists: ``item_reasons``, one per element and NULL for a right one, ``is_valid`` and the first ``reason``.
+
+    Type and description must be strings, steps and documentation lists of strings or absent, identifiers an object of strings or absent. A
+    reply that does not parse, or of which an element is wrong, has NULL ``llm_recommendations``.
+    """
+    rows = parsed_replies(replies, reply)
+    items = F.try_variant_get("json", "$.recommendations", "array<variant>")
+    rows = evaluated_once(rows, "item_reasons", F.transform(items, _item_reason))
+    numbered = F.transform("item_reasons", lambda r, i: F.when(r.isNotNull(), F.concat(F.lit("recommendations["), i.cast("string"), F.lit("]."), r)))
+    first = F.get(F.filter(numbered, lambda r: r.isNotNull()), F.lit(0))
+    reason = F.when(~F.col("parsed_ok"), "json").when(F.col("item_reasons").isNull(), "recommendations").otherwise(first)
+    rows = rows.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull())
+    return rows.withColumn("llm_recommendations", F.when(F.col("is_valid"), F.from_json("body", RECOMMENDATIONS)))
+
+
+def checked(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replies about sessions (``session_id``, ``analysis``, ``recommendations``, as texts) as model output, and what was wrong with others.
+
+    The output has a row for each session with a valid analysis; its recommendations are NULL if theirs are not valid. The
+    rejects have ``session_id``, ``part``, ``reason`` and ``reply``. A missing recommendation text is no reject.
+    """
+    answers = parsed_replies(replies.select("session_id", F.col("analysis").alias("reply")))
+    good = analyses(replies.select("session_id", F.col("analysis").alias("reply")))
+    advice = recommendations(replies.where(F.col("recommendations").isNotNull()).select("session_id", F.col("recommendations").alias("reply")))
+    names = ["session_id", "llm_initial_analysis"]
+    valid = advice.where("is_valid").select("session_id", "llm_recommendations")
+    output = good.where("is_valid").select(*names).join(valid, "session_id", "left")
+    rejects = [
+        answers.where(~F.col("parsed_ok")).select("session_id", F.lit("analysis").alias("part"), F.lit("json").alias("reason"), "reply"),
+        good.where(~F.col("is_valid")).select("session_id", F.lit("analysis").alias("part"), "reason", "reply"),
+        advice.where(~F.col("is_valid")).select("session_id", F.lit("recommendations").alias("part"), "reason", "reply"),
+    ]
+    return output, reduce(DataFrame.unionByName, rejects)

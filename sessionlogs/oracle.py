@@ -440,6 +440,14 @@ ORACLES: dict[str, str] = {
         case when messages <> '[]' then msg end as messages,
         case when messages <> '[]' then 'u' || lpad(cast(user_id as varchar), 6, '0') end as session_id
         from plain where json_valid(body_text)""",
+    "validate_recommendations": """select event_id, event_id % 9 in (5, 8) as is_valid,
+        case event_id % 9 when 0 then 'recommendations[1].recommendation_type'
+        when 1 then 'recommendations[1].recommendation_description' when 2 then 'recommendations[1].action_steps'
+        when 3 then 'recommendations[1].relevant_documentation' when 4 then 'recommendations[1].applicable_to_identifiers'
+        when 6 then 'recommendations' when 7 then 'json' end as reason,
+        cast(case when event_id % 9 in (6, 7) then null else 2 end as integer) as n_items,
+        case when event_id % 9 in (5, 8) then event_type end as description,
+        case when event_id % 9 in (5, 8) then 'a,b' end as steps from events""",
     "impact_flags": _sql(
         "pool",
         """select session_id, bool_or(error_type = 'timeout') as performance_impact,

@@ -559,6 +559,36 @@ def validate_analysis(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def advice(spark: SparkSession, folder: str) -> DataFrame:
+    """Replies with two recommendations made of ``events``; the second one of most has a fault, some are no list, some are cut off."""
+    event = F.col("event_type")
+    quoted = F.concat(F.lit('"'), event, F.lit('"'))
+    kind = F.col("event_id") % 9
+    right = F.concat(F.lit('{"recommendation_type": "t", "recommendation_description": '), quoted, F.lit(', "action_steps": ["a", "b"]}'))
+    fields = [
+        '"recommendation_description": "d"', '"recommendation_type": "t", "recommendation_description": 5',
+        '"recommendation_type": "t", "recommendation_description": "d", "action_steps": ["a", 1]',
+        '"recommendation_type": "t", "recommendation_description": "d", "relevant_documentation": "page"',
+        '"recommendation_type": "t", "recommendation_description": "d", "applicable_to_identifiers": {"urc": 7}',
+        '"recommendation_type": "t", "recommendation_description": "d", "applicable_to_identifiers": null, "action_steps": []',
+    ]
+    second = F.element_at(F.array(*(F.lit("{" + f + "}") for f in fields)), F.least(kind + 1, F.lit(len(fields))).cast("int"))
+    listed = F.concat(F.lit('{"recommendations": ['), right, F.lit(", "), second, F.lit("]}"))
+    reply = F.when(kind == 6, F.concat(F.lit('{"recommendations": '), quoted, F.lit("}"))).when(kind == 7, F.substring(listed, 1, 30)).otherwise(listed)
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), reply, F.lit("\n```"))).otherwise(reply)
+    return _table(spark, folder, "events").select("event_id", fenced.alias("reply"))
+
+
+def validate_recommendations(spark: SparkSession, folder: str) -> DataFrame:
+    found = modeljson.recommendations(advice(spark, folder))
+    items = F.col("llm_recommendations.recommendations")
+    return found.select(
+        "event_id", "is_valid", "reason", F.size("item_reasons").alias("n_items"),
+        F.get(items, F.lit(0))["recommendation_description"].alias("description"),
+        F.array_join(F.flatten(F.transform(items, lambda i: F.coalesce(i["action_steps"], F.array().cast("array<string>")))), ",").alias("steps"),
+    )
+
+
 # --- inferred from older outputs ---
 
 
@@ -664,6 +694,7 @@ QUERIES: dict[str, Query] = {
     "strip_code_fence": strip_code_fence,
     "parse_model_json": parse_model_json,
     "validate_analysis": validate_analysis,
+    "validate_recommendations": validate_recommendations,
     "impact_flags": impact_flags,
     "affected_components": affected_components,
     "explicit_severity": explicit_severity,

@@ -69,10 +69,38 @@ def test_only_whole_bodies_parse(spark, body, ok):
 
 
 def test_recommendations(spark):
-    body = {"recommendations": [{"recommendation_type": "t", "recommendation_description": "d", "action_steps": ["a"]}]}
-    replies = spark.createDataFrame([(1, json.dumps(body)), (2, "{")], "id int, reply string")
-    got = {r.id: r.llm_recommendations for r in modeljson.recommendations(replies).collect()}
-    assert got[1].recommendations[0].action_steps == ["a"] and got[2] is None
+    item = {"recommendation_type": "t", "recommendation_description": "d"}
+    cases = {
+        "ok": ([{**item, "action_steps": ["a"]}], None), "no items": ([], None),
+        "absent": ([{**item, "action_steps": None, "relevant_documentation": [], "applicable_to_identifiers": {"urc": None, "session_id": "s"}}], None),
+        "no type": ([item, {"recommendation_description": "d"}], "recommendations[1].recommendation_type"),
+        "null text": ([{**item, "recommendation_description": None}], "recommendations[0].recommendation_description"),
+        "mixed steps": ([{**item, "action_steps": ["a", 2]}], "recommendations[0].action_steps"),
+        "lone step": ([{**item, "action_steps": "a"}], "recommendations[0].action_steps"),
+        "numbers": ([{**item, "relevant_documentation": [1]}], "recommendations[0].relevant_documentation"),
+        "id list": ([{**item, "applicable_to_identifiers": ["s"]}], "recommendations[0].applicable_to_identifiers"),
+        "id number": ([{**item, "applicable_to_identifiers": {"urc": 1}}], "recommendations[0].applicable_to_identifiers"),
+        "text item": (["x", None, item], "recommendations[0].item"), "no list": ("x", "recommendations"), "null": (None, "recommendations"),
+    }
+    rows = [(name, json.dumps({"recommendations": v})) for name, (v, _) in cases.items()] + [("cut", "{"), ("none", None), ("other", "{}")]
+    got = {r.id: r for r in modeljson.recommendations(spark.createDataFrame(rows, "id string, reply string")).collect()}
+    want = {name: reason for name, (_, reason) in cases.items()} | {"cut": "json", "none": "json", "other": "recommendations"}
+    assert {i: r.reason for i, r in got.items()} == want
+    assert all(r.is_valid == (r.reason is None) == (r.llm_recommendations is not None) for r in got.values())
+    assert got["ok"].llm_recommendations.recommendations[0].action_steps == ["a"] and got["text item"].item_reasons == ["item", "item", None]
+
+
+def test_rejects_are_written(spark, small, tmp_path):
+    advice = json.dumps({"recommendations": [{"recommendation_type": 1}]})
+    rows = [("s", json.dumps(GOOD), advice), ("t", "{", None), ("u", json.dumps({**GOOD, "key_error_log_messages": []}), "x")]
+    small.write(str(tmp_path), replies=spark.createDataFrame(rows, "session_id string, analysis string, recommendations string"))
+    rejects = spark.read.json(f"{tmp_path}/rejects")
+    assert {(r.session_id, r.part, r.reason) for r in rejects.collect()} == {
+        ("s", "recommendations", "recommendations[0].recommendation_type"), ("t", "analysis", "json"),
+        ("u", "analysis", "key_error_log_messages"), ("u", "recommendations", "json"),
+    }
+    cause = spark.read.json(f"{tmp_path}/root_causes").select(F.inline("root_causes")).collect()
+    assert [(c.session_id, c.llm_initial_analysis.problem_description, c.llm_recommendations) for c in cause] == [("s", "p", None)]
 
 
 @pytest.fixture(scope="module")
