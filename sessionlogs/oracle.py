@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from sessionlogs import parse
-from sessionlogs.derived import DETAILS, STATUS_CODES
-
-_DETAIL = " ".join(f"when {i} then '{d}'" for i, d in enumerate(DETAILS))
-_CODE = " ".join(f"when {i} then {c}" for i, c in enumerate(STATUS_CODES))
+_DETAIL = """when 0 then 'Database cluster unavailable - all nodes down' when 1 then 'Gateway timeout'
+    when 2 then 'Data validation failed - missing required fields' when 3 then 'Authentication token expired'
+    when 4 then 'Rate limit exceeded' when 5 then 'Connection pool exhausted'
+    when 6 then 'Insufficient permissions' when 7 then 'Unexpected business rule'"""
+_CODE = "when 0 then 500 when 1 then 422 when 2 then 401 when 3 then 403 when 4 then 400"
 
 
 def _call_id(n: str) -> str:
@@ -17,10 +17,6 @@ def _call_id(n: str) -> str:
     )
 
 
-def _any(text: str, phrases: list[str]) -> str:
-    return "(" + " or ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
-
-
 def _value(key: str) -> str:
     return rf"nullif(regexp_extract(message, '{key}=([^,\s]+)', 1), '')"
 
@@ -29,23 +25,28 @@ def _in_call_id(column: str) -> str:
     return f"nullif(regexp_extract({column}, 'urc-[^-]+-[^-]+-([a-z0-9]+)-\\d+', 1), '')"
 
 
-_SEVERITY = (
-    f"case when {_any('lower(message)', parse.CRITICAL_PHRASES)} then 'CRITICAL' "
-    f"when {_any('lower(message)', parse.HIGH_PHRASES)} then 'HIGH' "
-    f"when {_any('lower(message)', parse.MEDIUM_PHRASES)} then 'MEDIUM' else 'LOW' end"
-)
+# --- fixed values: phrases and words that decide the results, written out here so that they are checked too ---
+_SEVERITY = """case when regexp_matches(lower(message), 'database cluster unavailable|all nodes down|data corruption detected'
+    '|emergency fallback failed|backup systems offline|critical database error|system failure|catastrophic|total system'
+    '|complete failure|service unavailable|cluster down|infrastructure failure') then 'CRITICAL'
+    when regexp_matches(lower(message), 'connection pool exhausted|database deadlock detected|gateway timeout'
+    '|upstream service unavailable|authentication failed|database authentication failed|status_code=50|status_code=503'
+    '|status_code=504|status_code=401|timeout|deadlock|constraint violation|transaction rollback|resource locked'
+    '|maintenance mode') then 'HIGH'
+    when regexp_matches(lower(message), 'status_code=422|validation failed|missing required fields|internal server error'
+    '|status_code=400|bad request') then 'MEDIUM' else 'LOW' end"""
 _ERROR_LEVEL = "upper(level) in ('ERROR', 'WARN')"
-_IS_ERROR = f"({_ERROR_LEVEL} or {_any('lower(message)', parse.ERROR_WORDS)})"
-_ERROR_TYPE = (
-    f"case when not {_IS_ERROR} then null "
-    + " ".join(f"when contains(lower(message), '{w}') then '{t}'" for w, t in parse.ERROR_TYPES.items())
-    + f" when {_ERROR_LEVEL} then 'system' else 'unknown_error' end"
-)
-_FALLBACK = (
-    "case "
-    + " ".join(f"when {_any('lower(message)', w)} then '{t}'" for w, t in parse.FALLBACK_TYPES)
-    + " else 'unknown' end"
-)
+_IS_ERROR = f"({_ERROR_LEVEL} or regexp_matches(lower(message), 'error|failed'))"
+_ERROR_TYPE = f"""case when not {_IS_ERROR} then null when contains(lower(message), 'timeout') then 'timeout'
+    when contains(lower(message), 'rate limit') then 'rate_limit' when contains(lower(message), 'authentication') then 'authentication'
+    when contains(lower(message), 'connection') then 'connection' when contains(lower(message), 'validation') then 'validation'
+    when contains(lower(message), 'business') then 'business' when {_ERROR_LEVEL} then 'system' else 'unknown_error' end"""
+_FALLBACK = """case when contains(lower(message), 'timeout') then 'timeout'
+    when regexp_matches(lower(message), 'auth|credentials') then 'authentication'
+    when contains(lower(message), 'rate limit') then 'rate_limit' when contains(lower(message), 'connection') then 'connection'
+    when contains(lower(message), 'queue') then 'queue'
+    when regexp_matches(lower(message), 'performance|latency') then 'performance' else 'unknown' end"""
+# --- end of fixed values ---
 _ISO = "strftime({}, '%Y-%m-%dT%H:%M:%SZ')"
 
 # Each step is a CTE; a query uses the steps up to the one it reads.
@@ -289,8 +290,8 @@ ORACLES: dict[str, str] = {
     "fallback_error_type": _recs(f"line_no, {_FALLBACK} as error_type"),
     "route_by_content": _sql(
         "lines",
-        f"""select line_no, case when {_any('value', parse.ROUTES[0][0])} then '{parse.ROUTES[0][1]}'
-        when {_any('value', parse.ROUTES[1][0])} then '{parse.ROUTES[1][1]}' else '{parse.DEFAULT_ROUTE}' end as route
+        """select line_no, case when regexp_matches(value, 'api_gateway|3scale') then 'gateway'
+        when regexp_matches(value, 'payment|order') then 'payment' else 'tibco' end as route
         from lines""",
     ),
     "timestamp_default": _recs(
@@ -426,10 +427,9 @@ ORACLES: dict[str, str] = {
     "recommendation_context_pack": _sql(
         "trig",
         f"""select t.session_id, {_ADVICE_TEXT} as context from trig t join (
-            select session_id, arg_min(event_type, event_id) as event_type, arg_min(msg, event_id) as msg from (
-                select 'u' || lpad(cast(user_id as varchar), 6, '0') as session_id, event_id, event_type,
-                'event ' || event_type || ' ' || json_extract_string(props, '$.k') as msg from events
-                where event_id % 4 <> 2 and (event_id % 4 = 3 or event_id % 9 <> 0)) group by session_id) a
+            select 'u' || lpad(cast(user_id as varchar), 6, '0') as session_id, event_type,
+            'event ' || event_type || ' ' || json_extract_string(props, '$.k') as msg from events
+            where event_id % 4 <> 2 and (event_id % 4 = 3 or event_id % 9 <> 0)) a
         on a.session_id = t.session_id""",
     ),
     "strip_code_fence": _REPLIES + "select event_id, body_text as body from plain",

@@ -532,10 +532,8 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
 def recommendation_context_pack(spark: SparkSession, folder: str) -> DataFrame:
     a = analysis(spark, folder)
     found = modeljson.analyses(replies(spark, folder)).where("is_valid")
-    per_session = found.groupBy(
-        F.col("llm_initial_analysis.associated_identifiers.session_id").alias("session_id")
-    ).agg(F.min_by("llm_initial_analysis", "event_id").alias("llm_initial_analysis"))
-    return rootcause.recommendation_context(chains.trigger_errors(a.pool), per_session)
+    named = found.select(F.col("llm_initial_analysis.associated_identifiers.session_id").alias("session_id"), "llm_initial_analysis")
+    return rootcause.recommendation_context(chains.trigger_errors(a.pool), named)
 
 
 def strip_code_fence(spark: SparkSession, folder: str) -> DataFrame:
