@@ -3,12 +3,14 @@
 Fixed patterns find assigned keys, access keys and hexadecimal strings. Besides, a value after a credential's name
 (``password is hunter2!``) is a secret if it is hard to guess: the cheapest segmentation of the value
 into words, dates, repeats, keyboard walks and brute-force spans gives the logarithm of the guesses that an attacker who knows these
-patterns needs. Values as easy as a common word or a date are placeholders and left alone.
+patterns needs. Values as easy as a common word or a date are placeholders and left alone. ``learned_words`` counts the words of all documents
+and gives the most frequent ones their ranks, so that words of the corpus' own languages and subjects are easy too. Bare words in a sentence
+(``the token is documented elsewhere``) are prose, not values.
 
 A span is (kind, start, end) in code points, end exclusive. Kinds: assign, access, hex, and password for what the method adds.
 
-Defined cases: a NULL or empty text has no spans. Texts and values of any length are read whole; the program is linear in a
-value, as words and dates have a greatest length. Repeated rows and ids are scanned apart. Extra columns are kept; of clashing names
+Defined cases: a NULL or empty text has no spans; an empty table gives an empty one. Texts and values of any length are read whole; the program is linear in a
+value, as words and dates have a greatest length. Spans of equal start stand in the order of kinds; words of equal count are ranked by code points. Repeated rows and ids are scanned apart. Extra columns are kept; of clashing names
 the computed one stays.
 """
 
@@ -38,13 +40,16 @@ KINDS = ("assign", "access", "hex", "password")
 #: a value is indented and neither a list's item nor the next name.
 CONTEXT = re.compile(
     r"(?:pass(?:word|wd|phrase|code)|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=P)))pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth[_-]?key)"
-    r"[\"']?(?:[\x20\t]{0,8}[:=]{1,2}>?(?:[\x20\t]{0,8}|[\x20\t]{0,8}\r?\n[\x20\t]{1,40}(?!-\s|[\"']?[\w.-]{1,80}[\"']?[\x20\t]*[:=](?:\s|\Z)))|[\x20\t]is:?[\x20\t])"
+    r"[\"']?(?:[\x20\t]*+[:=]{1,2}>?(?:[\x20\t]*+(?!\r?\n)|[\x20\t]*+\r?\n[\x20\t]++(?!-\s|[\"']?[\w.-]{1,80}[\"']?[\x20\t]*[:=](?:\s|\Z)))|[\x20\t]is:?[\x20\t])"
     r"(?:\"([^\"\r\n]+)\"|'([^'\r\n]+)'|([^\s\"']+))",
     re.ASCII | re.IGNORECASE,
 )
 VALUE_LEAST = 6
 #: Values filled in elsewhere: closed forms, and names of variables.
-TEMPLATE = re.compile(r"\$?\{\{[^{}\n]{0,200}\}\}|[$%#]?\{[^{}\n]{0,200}\}|\$\([^()\n]{0,200}\)|<[^<>\n]{0,200}>|\[[\w\x20.-]{0,200}\]|%\([^()\n]{0,200}\)s|%\w{1,200}%|\$[A-Z_][A-Z0-9_]*(?![^\s\"'.,;:)\]}>])")
+TEMPLATE = re.compile(r"\$?\{\{[^{}\n]*+\}\}|[$%#]?\{[^{}\n]*+\}|\$\([^()\n]*+\)|<[^<>\n]*+>|\[[\w\x20.-]*+\]|%\([^()\n]*+\)s|%\w++%|\$[A-Z_][A-Z0-9_]*(?![^\s\"'.,;:)\]}>])")
+#: A bare word, also with hyphens, in one of the cases of prose; and prose going on after it.
+BARE = re.compile(r"(?:[^\W\d_]+['’-])*[^\W\d_]+")
+GOES_ON = re.compile(r"[,;]?\x20+(?:[(\"'“]?[^\W\d_]+\b(?!\x20*[:=]))")
 #: Values from this many guesses on (a power of ten) are secrets.
 HARD = 8.0
 
@@ -60,7 +65,8 @@ eagle lion horse dog cat bird fish apple banana cherry coffee pizza music guitar
 network office school student teacher doctor king queen prince knight magic power happy lucky crazy pretty
 angel baby family mother father sister brother friend people world country city street road garden flower""".split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, RANK))
+#: Words that ``learned_words`` ranks, letters of the longest, and rows that one must stand in.
+LEARNED, LONGEST_WORD, LEAST_ROWS = 100_000, 24, 5
 LEET = str.maketrans("4@3105$7", "aaeiosst")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {
@@ -75,37 +81,63 @@ CHARACTER, SPAN = 1.0, 0.3
 DATE_COST = {True: log10(365 * 120), False: log10(120)}
 
 
-def _word(piece: str) -> float | None:
+def learned_words(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """Ranks of the ``LEARNED`` most frequent words of all documents; the fixed ones keep theirs. At most that many rows reach the driver."""
+    word = F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))).alias("word")
+    counts = docs.select(word).where(F.length("word").between(3, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "word").limit(LEARNED).toArrow().column("word").to_pylist()
+    return {**{w: len(RANK) + i + 1 for i, w in enumerate(top)}, **RANK}
+
+
+def _word(piece: str, rank_of: dict[str, int] = RANK) -> float | None:
     lower = piece.lower()
-    rank = RANK.get(lower)
+    rank = rank_of.get(lower)
     swapped = 0.0
     if rank is None:
-        rank, swapped = RANK.get(lower.translate(LEET)), log10(4)
+        rank, swapped = rank_of.get(lower.translate(LEET)), log10(4)
     if rank is None:
         return None
     upper = 0.0 if piece == lower else log10(2) if piece in (lower.upper(), lower.capitalize()) else log10(2) * len(piece)
     return log10(rank + 1) + swapped + upper
 
 
-def guesses(value: str) -> float:
+def _cheapest(starts: list[int], end: int, done: list[float], kinds: int) -> tuple[float, list[int]]:
+    """Least cost of a run up to ``end`` from one of ``starts``, and the starts that can still be the best for a longer one.
+
+    A cost grows by the logarithm of the length, faster for later starts: one that an earlier start reaches stays behind it.
+    """
+    best, kept = float("inf"), []
+    for start in starts:
+        cost = done[start] + SPAN + log10(kinds * (end - start))
+        if cost < best:
+            best = cost
+            kept.append(start)
+    return best, kept
+
+
+def guesses(value: str, rank_of: dict[str, int] = RANK) -> float:
     """Power of ten of the guesses for ``value``: the cheapest segmentation from its start to its end."""
     n = len(value)
-    lower = value.lower()
+    lower = value.lower() if len(value.lower()) == n else value
     # cheapest ways to a place: with a span ending there, and within a brute-force span
     done, brute = [0.0] + [float("inf")] * n, [float("inf")] * (n + 1)
-    # length of the run of equal characters, and of neighbouring keys, that ends at a place
+    # length of the run of equal characters, and of neighbouring keys, that ends at a place; where these runs may begin
     same = walk = 1
+    repeats: list[int] = []
+    walks: list[int] = []
     for end in range(1, n + 1):
-        same = same + 1 if end > 1 and value[end - 1] == value[end - 2] else 1
-        walk = walk + 1 if end > 1 and lower[end - 1] in NEXT.get(lower[end - 2], ()) else 1
+        same, repeats = (same + 1, repeats) if end > 1 and value[end - 1] == value[end - 2] else (1, [])
+        walk, walks = (walk + 1, walks) if end > 1 and lower[end - 1] in NEXT.get(lower[end - 2], ()) else (1, [])
         brute[end] = min(brute[end - 1], done[end - 1] + SPAN) + CHARACTER
         best = brute[end]
         if same >= 3:
-            best = min(best, done[end - same] + SPAN + log10(12 * same))
+            cost, repeats = _cheapest([*repeats, end - 3], end, done, 12)
+            best = min(best, cost)
         if walk >= 4:
-            best = min(best, done[end - walk] + SPAN + log10(47 * 4 * walk))
+            cost, walks = _cheapest([*walks, end - 4], end, done, 47 * 4)
+            best = min(best, cost)
         for start in range(max(0, end - LONGEST_WORD), end - 1):
-            if (cost := _word(value[start:end])) is not None:
+            if (cost := _word(value[start:end], rank_of)) is not None:
                 best = min(best, done[start] + SPAN + cost)
         for start in range(max(0, end - LONGEST_DATE), end - 3):
             if value[start].isdigit() and DATE.fullmatch(value, start, end):
@@ -114,7 +146,15 @@ def guesses(value: str) -> float:
     return done[n]
 
 
-def spans(text: str) -> list[tuple[str, int, int]]:
+def _prose(text: str, name_to_value: str, start: int, end: int) -> bool:
+    """Whether an unquoted value is a bare word of a sentence: said with ``is``, or with a further word after it."""
+    value = text[start:end]
+    if not BARE.fullmatch(value) or not all(w in (w.lower(), w.upper(), w.capitalize()) for w in value.split("-")):
+        return False
+    return name_to_value.rstrip(": \t").lower().endswith(" is") or bool(GOES_ON.match(text, end))
+
+
+def spans(text: str, rank_of: dict[str, int] = RANK) -> list[tuple[str, int, int]]:
     """All spans by start, then by kind in the order of ``KINDS``."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
@@ -126,9 +166,12 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         while end > start and text[end - 1] in ".,;:)]}>":
             end -= 1
         before = bisect_left(starts, end)  # base spans that start before the value's end; the farthest of them must end before it
+        bare = m.lastindex == 3
         apart = not before or reach[before - 1] <= start
         filled = TEMPLATE.match(text, start)
-        if apart and end - start >= VALUE_LEAST and not (filled and filled.end() >= end) and guesses(text[start:end]) >= HARD:
+        if apart and end - start >= VALUE_LEAST and not (filled and filled.end() >= end):
+            if bare and _prose(text, text[m.start() : start], start, end) or guesses(text[start:end], rank_of) < HARD:
+                continue
             found.append(("password", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -140,8 +183,8 @@ def joined(found: list[tuple[str, int, int]]) -> str:
 _FOUND = {"n_assign": "long", "n_access": "long", "n_hex": "long", "base_sha256": "string", "spans": "string"}
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds counts by kind, the digest of the base spans and all spans."""
+def scan(df: DataFrame, text: str = "text", rank_of: dict[str, int] = RANK) -> DataFrame:
+    """Adds counts by kind, the digest of the base spans and all spans. ``rank_of`` may be ``learned_words``."""
     kept = [c for c in df.columns if c not in _FOUND]
     rows = df.select(*kept) if text in kept else df.select(*kept, F.col(text))
     schema = T.StructType([*rows.schema.fields, *T._parse_datatype_string(", ".join(f"{k} {v}" for k, v in _FOUND.items())).fields])
@@ -150,7 +193,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _FOUND}
             for value in batch.column(text):
-                found = spans(value.as_py() or "")
+                found = spans(value.as_py() or "", rank_of)
                 base = [x for x in found if x[0] != "password"]
                 for kind in KINDS[:3]:
                     out[f"n_{kind}"].append(sum(x[0] == kind for x in base))

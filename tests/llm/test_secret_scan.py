@@ -1,9 +1,10 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
 from sessionlogs.llm import secret_scan
-from tests.llm.helpers import awkward
+from tests.llm.helpers import awkward, documents
 
 
 def kinds(text):
@@ -50,11 +51,9 @@ def brute(value):
             word = secret_scan._word(piece) if 2 <= len(piece) <= secret_scan.LONGEST_WORD else None
             costs += [] if word is None else [word]
             costs += [secret_scan.DATE_COST[len(piece) > 4]] if secret_scan.DATE.fullmatch(piece) else []
-            maximal = (start == 0 or value[start - 1] != value[start]) if len(set(piece)) == 1 and len(piece) >= 3 else False
-            costs += [secret_scan.log10(12 * len(piece))] if maximal else []
+            costs += [secret_scan.log10(12 * len(piece))] if len(set(piece)) == 1 and len(piece) >= 3 else []
             walk = len(piece) >= 4 and all(b in secret_scan.NEXT.get(a, ()) for a, b in zip(lower[start:end], lower[start + 1 : end], strict=False))
-            whole = walk and (start == 0 or lower[start] not in secret_scan.NEXT.get(lower[start - 1], ()))
-            costs += [secret_scan.log10(47 * 4 * len(piece))] if whole else []
+            costs += [secret_scan.log10(47 * 4 * len(piece))] if walk else []
             best[end] = min(best[end], best[start] + secret_scan.SPAN + min(costs))
     return best[n]
 
@@ -62,6 +61,33 @@ def brute(value):
 def test_guesses_equal_brute_force():
     for v in ("a", "hunter2!", "Tr0ub4dor&3", "qwertyuiop12", "summer2024sun", "aaaabbbb1111", "x1999-12-31y", "PASSWORD", "p4$$word", "zxcvbnm,./q"):
         assert abs(secret_scan.guesses(v) - brute(v)) < 1e-9, v
+    rng = random.Random(7)
+    pieces = ["football", "password", "xxxx", "lll", "qwerty", "asdfgh", "fghjk", "2011", "1111", "aa", "s3cret", "-", "Zq", "1999-12-31", "dragon"]
+    for _ in range(150):
+        v = "".join(rng.choice(pieces) * rng.randint(1, 2) for _ in range(rng.randint(1, 5)))
+        assert abs(secret_scan.guesses(v) - brute(v)) < 1e-9, v
+    assert secret_scan.guesses("football" + "l" * 10) < 5
+
+
+def test_prose_is_not_secret_and_blanks_are_not_bounded():
+    for text in ("The secret is patience.", "The token is documented elsewhere", "password is encrypted at rest", "Password is case-sensitive", "secret: ingredients of cooking"):
+        assert kinds(text) == [], text
+    value = "x9!Qz#7Lw"
+    assert kinds("password" + " " * 300 + "=" + " " * 300 + value) == [("password", value)]
+    assert kinds("password:" + " " * 20 + "\n" + " " * 100 + value) == [("password", value)]
+    assert kinds("password: ${" + "v" * 300 + "!9}") == []
+    assert kinds('password: "korrekthorsebatteri"') == [("password", "korrekthorsebatteri")] and kinds("the password is kX9q2mZv") == [("password", "kX9q2mZv")]
+
+
+def test_words_of_the_documents_are_easy(spark):
+    rows = [(k, f"Über gardening and Xylophonist {k}, password=xylophonist") for k in range(6)] + [(9, "pwd=quetzalcoat"), (10, None)]
+    docs = documents(spark, rows)
+    words = secret_scan.learned_words(docs)
+    assert {"über", "gardening", "xylophonist"} <= set(words) and "quetzalcoat" not in words
+    out = {r.doc_id: r.spans for r in secret_scan.scan(docs, rank_of=words).collect()}
+    assert out[0] == out[10] == "" and out[9] == "password:4:15"
+    assert secret_scan.guesses("xylophonist") >= secret_scan.HARD > secret_scan.guesses("xylophonist", words)
+    assert secret_scan.learned_words(docs.limit(0)) == secret_scan.RANK
 
 
 def test_awkward_rows(spark):
