@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionlogs.llm.near_dedup import perhaps_in
 from sessionlogs.skew import hot_keys, join_many_to_one
 from sessionlogs.stage import materialise
 
@@ -235,7 +236,10 @@ def passages(texts: DataFrame, items: DataFrame, least: float = LEAST_SCORE) ->
         F.sum("copies").alias("have"), F.max("need").alias("need"), F.collect_list(F.struct("at", "first", "last", "copies")).alias("seeds")
     )
     near = materialise(near.where("have >= need").select("key", "item", "seeds"), "candidates")
-    bodies = texts.join(near.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("words_of").alias("words_of"))
+    keys = near.select(F.col("key").alias("id")).distinct()
+    # most texts that are no candidates go before the shuffle
+    likely = perhaps_in(texts.withColumnRenamed("key", "id"), keys)
+    bodies = likely.join(keys, "id", "left_semi").groupBy(F.col("id").alias("key")).agg(F.min("words_of").alias("words_of"))
     return near.join(items, "item").join(bodies, "key").mapInArrow(_aligned(least), "key string, item string, score double, start long, end long")
 
 
