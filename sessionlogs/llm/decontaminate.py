@@ -237,9 +237,9 @@ def passages(texts: DataFrame, items: DataFrame, least: float = LEAST_SCORE) ->
     )
     near = materialise(near.where("have >= need").select("key", "item", "seeds"), "candidates")
     keys = near.select(F.col("key").alias("id")).distinct()
-    # most texts that are no candidates go before the shuffle
+    # most texts that are no candidates go before the shuffle; a semi-join would be moved below this filter
     likely = perhaps_in(texts.withColumnRenamed("key", "id"), keys)
-    bodies = likely.join(keys, "id", "left_semi").groupBy(F.col("id").alias("key")).agg(F.min("words_of").alias("words_of"))
+    bodies = likely.join(keys, "id").groupBy(F.col("id").alias("key")).agg(F.min("words_of").alias("words_of"))
     return near.join(items, "item").join(bodies, "key").mapInArrow(_aligned(least), "key string, item string, score double, start long, end long")
 
 
