@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlogs import calltree, chains, modeljson, parse, rootcause, sessions, sinks, sources
+from sessionlogs import calltree, chains, modeljson, parse, retrieval, rootcause, sessions, sinks, sources
 
 
 class Analysis:
@@ -39,6 +39,16 @@ class Analysis:
     def root_causes(self, model_output: DataFrame | None = None) -> DataFrame:
         return rootcause.root_cause_records(self.nodes, self.pool, model_output)
 
+    def rca_contexts(self, chunks: DataFrame | None = None) -> DataFrame:
+        """The text about each trigger for a model; with ``chunks`` (``vec_id, content``), also the documentation on the fixed query."""
+        found = "" if chunks is None else retrieval.fixed_context(chunks, retrieval.ANALYSIS_QUERY)
+        return rootcause.rca_context(self.nodes, self.pool, found)
+
+    def recommendation_contexts(self, analyses: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+        """The text for recommendations from each analysis and its trigger; documentation as in ``rca_contexts``."""
+        found = "" if chunks is None else retrieval.fixed_context(chunks, retrieval.REMEDY_QUERY)
+        return rootcause.recommendation_context(chains.trigger_errors(self.pool), analyses, found)
+
     def raw_logs(self) -> DataFrame:
         """Deduplicated records of the sessions, under the field names of an index."""
         return sinks.to_indexed(self.positions, "source_bucket").drop("ts")

@@ -245,6 +245,35 @@ _ADVICE_TEXT = _NL.join(
     + [_line("Session ID", "t.session_id"), _line("Service", "t.service"), "'Documentation:'", "''"]
 )
 
+
+
+def _documented(text: str, label: int) -> str:
+    """The text with documentation behind its last line."""
+    found = f"select string_agg(d.text, ' ' order by rank) from top join documents d on d.doc_id = vec_id where rank <= 5 and query_id = {label}"
+    return text.removesuffix("''") + f"coalesce(({_TOP} {found}), '')"
+
+
+def _rca_pack(text: str) -> str:
+    return _sql(
+        "trig",
+        f"""select t.session_id, {text} as context from trig t
+        join heads h on h.session_id = t.session_id
+        join (select c.session_id, string_agg({_ERROR_JSON}, ', ' order by c.e) as errors from chain c group by 1) l
+        on l.session_id = t.session_id""",
+    )
+
+
+def _advice_pack(text: str) -> str:
+    return _sql(
+        "trig",
+        f"""select t.session_id, {text} as context from trig t join (
+            select 'u' || lpad(cast(user_id as varchar), 6, '0') as session_id, event_type,
+            'event ' || event_type || ' ' || json_extract_string(props, '$.k') as msg from events
+            where event_id % 4 <> 2 and (event_id % 4 = 3 or event_id % 9 <> 0)) a
+        on a.session_id = t.session_id""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "scan_log_text": _recs(f"{_TS}, level, service, message"),
     "service_from_path": "select page_id, regexp_extract(url, '([^/.]*)[^/]*$', 1) as service from pages",
@@ -417,21 +446,10 @@ ORACLES: dict[str, str] = {
         cast(null as varchar) as error_specific_api_endpoint,
         cast(null as varchar) as error_specific_transaction_type, chain_impact as overall_chain_impact from found""",
     ),
-    "rca_context_pack": _sql(
-        "trig",
-        f"""select t.session_id, {_RCA_TEXT} as context from trig t
-        join heads h on h.session_id = t.session_id
-        join (select c.session_id, string_agg({_ERROR_JSON}, ', ' order by c.e) as errors from chain c group by 1) l
-        on l.session_id = t.session_id""",
-    ),
-    "recommendation_context_pack": _sql(
-        "trig",
-        f"""select t.session_id, {_ADVICE_TEXT} as context from trig t join (
-            select 'u' || lpad(cast(user_id as varchar), 6, '0') as session_id, event_type,
-            'event ' || event_type || ' ' || json_extract_string(props, '$.k') as msg from events
-            where event_id % 4 <> 2 and (event_id % 4 = 3 or event_id % 9 <> 0)) a
-        on a.session_id = t.session_id""",
-    ),
+    "rca_context_pack": _rca_pack(_RCA_TEXT),
+    "recommendation_context_pack": _advice_pack(_ADVICE_TEXT),
+    "rca_context_documented": _rca_pack(_documented(_RCA_TEXT, 0)),
+    "recommendation_context_documented": _advice_pack(_documented(_ADVICE_TEXT, 1)),
     "strip_code_fence": _REPLIES + "select event_id, body_text as body from plain",
     "parse_model_json": _REPLIES + "select event_id, json_valid(body_text) as parsed_ok from plain",
     "validate_analysis": _REPLIES + """select event_id, messages <> '[]' as is_valid,

@@ -529,11 +529,29 @@ def replies(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "events").select("event_id", reply.alias("reply"))
 
 
-def recommendation_context_pack(spark: SparkSession, folder: str) -> DataFrame:
+def _label_context(spark: SparkSession, folder: str, label: int) -> Column:
+    """Whole texts of the documents whose vectors are nearest to a label's, which stands for the vector of a fixed query."""
+    contents = _table(spark, folder, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("content"))
+    return retrieval.context_of(topk_similar(spark, folder), contents, label)
+
+
+def rca_context_documented(spark: SparkSession, folder: str) -> DataFrame:
     a = analysis(spark, folder)
+    return rootcause.rca_context(a.nodes, a.pool, _label_context(spark, folder, 0))
+
+
+def recommendation_context_documented(spark: SparkSession, folder: str) -> DataFrame:
+    return rootcause.recommendation_context(chains.trigger_errors(analysis(spark, folder).pool), _named_analyses(spark, folder), _label_context(spark, folder, 1))
+
+
+def _named_analyses(spark: SparkSession, folder: str) -> DataFrame:
     found = modeljson.analyses(replies(spark, folder)).where("is_valid")
-    named = found.select(F.col("llm_initial_analysis.associated_identifiers.session_id").alias("session_id"), "llm_initial_analysis")
-    return rootcause.recommendation_context(chains.trigger_errors(a.pool), named)
+    return found.select(F.col("llm_initial_analysis.associated_identifiers.session_id").alias("session_id"), "llm_initial_analysis")
+
+
+def recommendation_context_pack(spark: SparkSession, folder: str) -> DataFrame:
+    a = analysis(spark, folder)
+    return rootcause.recommendation_context(chains.trigger_errors(a.pool), _named_analyses(spark, folder))
 
 
 def strip_code_fence(spark: SparkSession, folder: str) -> DataFrame:
@@ -689,6 +707,8 @@ QUERIES: dict[str, Query] = {
     "root_cause_record": root_cause_record,
     "rca_context_pack": rca_context_pack,
     "recommendation_context_pack": recommendation_context_pack,
+    "rca_context_documented": rca_context_documented,
+    "recommendation_context_documented": recommendation_context_documented,
     "strip_code_fence": strip_code_fence,
     "parse_model_json": parse_model_json,
     "validate_analysis": validate_analysis,

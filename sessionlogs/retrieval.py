@@ -284,6 +284,25 @@ def relevant_context(top: DataFrame, contents: DataFrame) -> DataFrame:
     )
 
 
+def context_of(top: DataFrame, contents: DataFrame, query_id: int = 0) -> Column:
+    """The context of one query as a value for any row: a scalar subquery over its ``k`` contents, NULL without any."""
+    return relevant_context(top.where(F.col("query_id") == query_id), contents).select("context").scalar()
+
+
+def fixed_context(chunks: DataFrame, query: str = ANALYSIS_QUERY, k: int = CONTEXT_K) -> Column:
+    """The contents of the ``k`` chunks nearest to a fixed query text, by the vectors learned from the chunks.
+
+    ``chunks`` has ``vec_id`` (BIGINT) and ``content``. Without chunks there is no vector to learn, and the context is NULL.
+    """
+    chunks = materialise(chunks.where(F.col("content").isNotNull()).select("vec_id", "content"), "chunks")
+    if chunks.isEmpty():
+        return F.lit(None).cast("string")
+    model = text_model(chunks)
+    asked = chunks.sparkSession.createDataFrame([(0, query)], "query_id long, content string")
+    top = topk_similar(text_to_vector(model, chunks), text_to_vector(model, asked), k)
+    return context_of(top, chunks)
+
+
 def error_queries(pool: DataFrame) -> DataFrame:
     """Distinct ``error pattern <type>`` texts for the errors of all chains."""
     kind = fallback_error_type(

@@ -132,8 +132,12 @@ def _detail(label: str, value: Column | str, default: str) -> Column:
     return F.concat(F.lit(f"- {label}: "), F.coalesce(value, F.lit(default)))
 
 
-def rca_context(nodes: DataFrame, pool: DataFrame, doc_context: str = "", size: int = LIST_ITEMS) -> DataFrame:
-    """The facts about each trigger as one text: details, error chain as JSON, documentation.
+def _documentation(context: str | Column) -> Column:
+    return F.coalesce(context if isinstance(context, Column) else F.lit(context), F.lit(""))
+
+
+def rca_context(nodes: DataFrame, pool: DataFrame, doc_context: str | Column = "", size: int = LIST_ITEMS) -> DataFrame:
+    """The facts about each trigger as one text: details, error chain as JSON, documentation (see ``retrieval.fixed_context``).
 
     A chain of more than ``size`` errors is given by its header, with ``null`` for the errors.
     """
@@ -153,13 +157,13 @@ def rca_context(nodes: DataFrame, pool: DataFrame, doc_context: str = "", size:
         F.lit("Error chain:"),
         F.to_json(_chain(F.col("errors")), PRETTY),
         F.lit("Documentation:"),
-        F.lit(doc_context),
+        _documentation(doc_context),
     )
     return rows.select("session_id", text.alias("context"))
 
 
 def recommendation_context(
-    triggers: DataFrame, analyses: DataFrame, doc_context: str = ""
+    triggers: DataFrame, analyses: DataFrame, doc_context: str | Column = ""
 ) -> DataFrame:
     """The facts for recommendations: the analysis as JSON and its trigger.
 
@@ -177,6 +181,6 @@ def recommendation_context(
         _detail("Session ID", "session_id", "unknown"),
         _detail("Service", "source", "unknown"),
         F.lit("Documentation:"),
-        F.lit(doc_context),
+        _documentation(doc_context),
     )
     return rows.select("session_id", text.alias("context"))

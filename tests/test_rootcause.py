@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sessionlogs import chains, modeljson, rootcause
+from sessionlogs import chains, modeljson, retrieval, rootcause
 from tests.test_calltree import analysis_of, line
 
 GOOD = {
@@ -150,3 +150,18 @@ def test_contexts(spark, small):
     output = found.withColumn("llm_recommendations", F.lit(None).cast("struct<recommendations:array<string>>"))
     rows = small.root_causes(output).collect()
     assert [r.llm_initial_analysis.problem_description for r in rows] == ["p"]
+
+
+def test_documentation_of_the_fixed_queries(spark, small):
+    texts = ["system architecture of the gateway", "error patterns of the system", "remediation steps for queues", "configuration guides", "lunch menu", None]
+    chunks = spark.createDataFrame(list(enumerate(texts)), "vec_id long, content string")
+    text = small.rca_contexts(chunks).first().context
+    listed = text.split("Documentation:\n")[1]
+    assert "system architecture of the gateway" in listed and "error patterns of the system" in listed
+    best = rootcause.rca_context(small.nodes, small.pool, retrieval.fixed_context(chunks, k=2)).first().context.split("Documentation:\n")[1]
+    assert set(best.split(" ")) == set((texts[0] + " " + texts[1]).split(" "))
+    found = modeljson.analyses(spark.createDataFrame([("s", json.dumps(GOOD))], "session_id string, reply string")).select("session_id", "llm_initial_analysis")
+    advice = small.recommendation_contexts(found, chunks).first().context
+    assert "remediation steps for queues" in advice and "configuration guides" in advice
+    for none in (chunks.limit(0), None):
+        assert small.rca_contexts(none).first().context.endswith("Documentation:\n")
