@@ -9,16 +9,17 @@ document with the smallest id.
    union sketch has RUN shared values in a row, which fails by chance about once in a million pairs at the threshold itself and far less above it.
    Runs stay rare where single shingles are common, so lists don't grow with the corpus. Sets of at most K values, whose
    sketch is the whole set, use single values instead, and only the rarest that any linked set must share one of (for sure).
-3. Lists of at most LIST members give all their pairs. A longer list is a large group or a passage that many share. Documents with few runs in long
-   lists show in their other lists and leave the long ones (see MANY). The rest get lists of more values at once: retained values fall into
+3. Lists of at most LIST members give all their pairs. A longer list is a large group or a passage that many share. All members of long
+   lists get lists of more values at once: retained values fall into
    SLOTS by their low bits, and each of KEYS fixed choices of slots gives a key of their least values. Linked sets agree in a slot about as
-   often as they are similar, so they share a key of six slots for sure but for a few in a million, while sets that only share a passage seldom do; keys
-   of ten slots split what is still long. At each step lists within one component are left out, short ones give all pairs between components, and
-   in long ones the most central members (in most long lists) lead: members are compared with leaders, and those that no leader is linked with
-   meet more leaders in the next round. Where copies differ by edits of their own, whatever is linked with one is linked with a central one too.
+   often as they are similar, so they share a key of six slots for sure but for a few in a million, while sets that only share a passage seldom do. Lists
+   within one component are left out, short ones give all pairs between components, and in long ones the most central members (in most long
+   lists) lead: members are compared with leaders, and those that no leader is linked with meet more leaders in the next round; then each long
+   list, at any length, gives all pairs that are still between components, each with a member outside its list's largest component. Where copies differ by edits of their own, whatever is linked with one is linked with a central one too.
    Sets of at most K values are compared by whole sets instead: linked sets share the first l values, rarest first, within their prefixes of
    size - least overlap + l, so lists by the first shared value, the long ones split by the second and so on to the LEVELS-th, hold all pairs.
-   ``exact=True`` does so for all sets. That loses nothing but what step 4 drops, but a large set may have very many keys; it is meant for small tables.
+   All members of long lists are then compared so, each list left out once it lies within one component, so keys of slots lose no pair.
+   ``exact=True`` skips the keys of slots.
 4. The union sketch estimates the similarity, and what is clearly below is dropped.
 5. Exact Jaccard on the full sets verifies: first a pair per class with its best neighbour, then only pairs whose ends these links left in
    different components.
@@ -51,16 +52,12 @@ SMALL = 32
 LIST = 32
 #: Shared values by which long lists are split. Linked sets that aren't equal share 4 at least, so more would lose pairs.
 LEVELS = 4
-#: Runs in long lists from which on a document needs them: a linked pair at the threshold itself has fewer common runs than this five times in a million.
-MANY = 4
-#: Slots of a sketch, choices of slots, and the number of slots in one at each step.
+#: Slots of a sketch, choices of slots, and the number of slots in one.
 SLOTS = 20
 KEYS = 40
-CHOSEN = (6, 10)
-#: Members of a list, by step, that gives all pairs which its leaders leave in different components.
-LONG_LIST = (256, 512)
-#: Leaders of a list in each round, by step.
-LEADERS = ((1, 2), (1, 4, 16))
+CHOSEN = 6
+#: Leaders of a long list in each round; whatever they leave in different components gives all its pairs, at any length.
+LEADERS = (1, 4, 16)
 #: Least similarity, in hundredths.
 SIMILAR = 80
 #: Estimates below this are dropped: at the threshold itself, 17 or fewer hits of K come up twice in ten million pairs.
@@ -281,28 +278,31 @@ def _links_of_slots(members: DataFrame, classes: DataFrame, full: DataFrame, lin
     """
     slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.coalesce(F.get(F.filter("sketch", lambda v: F.pmod(v, F.lit(SLOTS)) == k), F.lit(0)), k.cast("long")))
     def pairs_between(rows: DataFrame) -> DataFrame:
-        other = rows.select(F.col("key").alias("of_key"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("component").alias("of"))
-        apart = (F.col("key") == F.col("of_key")) & (F.col("cid") < F.col("leader")) & (F.col("component") != F.col("of")) & _sizes_fit(F.col("n"), F.col("nl"))
+        # a pair between components has an end outside its list's largest component: only such members meet the whole list
+        sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("largest"))
+        minor = rows.join(largest, "key").where(F.col("component") != F.col("largest"))
+        other = minor.select(F.col("key").alias("of_key"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("component").alias("of"))
+        apart = (F.col("key") == F.col("of_key")) & (F.col("component") != F.col("of")) & _sizes_fit(F.col("n"), F.col("nl"))
         return _compared(rows.join(other, apart).select("cid", "n", "leader", "nl"), classes, full).where(_similar(SIMILAR)).select("a", "b")
 
-    for chosen, leaders, most in zip(CHOSEN, LEADERS, LONG_LIST, strict=True):
-        own = classes.join(members, "cid", "left_semi").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
-        own = materialise(own.select("cid", "n", slots.alias("slots"), F.coalesce("component", "cid").alias("component")), "slots")
-        rows = own.select("cid", "n", "component", F.explode(_slot_keys(chosen)).alias("key"))
-        # lists within one component have nothing to add
-        lengths = rows.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("first"), F.max("component").alias("last"))
-        held = materialise(rows.join(lengths.where("first < last").select("key", "length"), "key"), "slot_lists")
-        links = links.unionByName(pairs_between(held.where(F.col("length") <= LIST)))
-        long = held.where(F.col("length") > LIST)
-        if long.isEmpty():
-            break
-        central = long.groupBy("cid").agg((-F.count(F.lit(1))).alias("alone"))
-        links = materialise(_led(materialise(long.select("key", "cid", "n").join(central, "cid"), "slot_lists"), classes, full, links, leaders), "links")
-        labels = components(links)
-        long = long.drop("component").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        links = links.unionByName(pairs_between(materialise(long.where(F.col("length") <= most), "slot_lists")))
-        members = long.where(F.col("length") > most).select("cid").distinct()
-    return links
+    # one choice of keys for all: keys of more slots would not hold every pair that shared a key of fewer, so no list moves on to them
+    own = classes.join(members, "cid", "left_semi").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
+    own = materialise(own.select("cid", "n", slots.alias("slots"), F.coalesce("component", "cid").alias("component")), "slots")
+    rows = own.select("cid", "n", "component", F.explode(_slot_keys(CHOSEN)).alias("key"))
+    # lists within one component have nothing to add
+    lengths = rows.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("first"), F.max("component").alias("last"))
+    held = materialise(rows.join(lengths.where("first < last").select("key", "length"), "key"), "slot_lists")
+    links = links.unionByName(pairs_between(held.where(F.col("length") <= LIST)))
+    long = held.where(F.col("length") > LIST)
+    if long.isEmpty():
+        return links
+    central = long.groupBy("cid").agg((-F.count(F.lit(1))).alias("alone"))
+    links = materialise(_led(materialise(long.select("key", "cid", "n").join(central, "cid"), "slot_lists"), classes, full, links, LEADERS), "links")
+    labels = components(links)
+    long = long.drop("component").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    # lists of any length give all pairs that their leaders leave between components: no cap
+    return links.unionByName(pairs_between(materialise(long, "slot_lists")))
 
 
 def _bucket(n: Column) -> Column:
@@ -384,9 +384,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     _freed(docs)
     pairs = materialise(_of_short_lists(found.where(F.col("length") <= LIST), classes), "pairs")
     long = found.where(F.col("length") > LIST).drop("length")
-    many = long.groupBy("cid").agg(F.count(F.lit(1)).alias("c")).join(classes.select("cid", "n"), "cid")
-    many = many.where((F.col("c") >= MANY) | (F.col("n") <= K)).select("cid").distinct()
-    long = materialise(long.join(many, "cid", "left_semi"), "long_lists")
+    # every member of a long list stays in it: none is left to its short lists alone
+    long = materialise(long, "long_lists")
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(long.select("cid")).distinct()
     fields = "cid long, fp long, items array<long>"
     needed = materialise(needed, "needed")
@@ -400,11 +399,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
         classes = materialise(classes.join(members.select("cid"), "cid", "left_semi"), "classes")
         full = materialise(full.join(members.select("cid"), "cid", "left_semi"), "sets")
         _freed(docs)
-        few = members if exact else members.where(F.col("n") <= K)
-        if not few.isEmpty():
-            links = _links_of_prefixes(few.select("cid"), classes, full, links, labels)
         if not exact:
+            # keys of slots merge most of large groups at little cost, but lose pairs near the threshold
             links = _links_of_slots(members.select("cid"), classes, full, links, labels)
+            labels = components(links)
+        # the exact way for the rest: prefixes of whole sets give every pair that is still between components
+        links = _links_of_prefixes(members.select("cid"), classes, full, links, labels)
     labels = components(links)
     member = every.select("cid", "fp", "fq", "n").join(labels, F.col("cid") == F.col("id"), "left").select("fp", "fq", "n", F.coalesce("component", "cid").alias("component"))
     out = hashed.select("id", "n", "fp", "fq").join(member, ["fp", "fq", "n"], "left")

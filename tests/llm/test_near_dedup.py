@@ -119,3 +119,19 @@ def test_large_groups_near_the_threshold(spark):
     want, got = ({c for _, c in x.values()} for x in (brute(rows, 2), found(spark, rows, 2)))
     assert want <= got and len(got) - len(want) <= 0.01 * (len(rows) - len(want))
     assert len(want) < 0.6 * len(rows)  # not vacuous
+
+
+def test_lists_longer_than_every_cap_lose_no_link(spark, monkeypatch):
+    """The groups of all sizes with lists long beyond two members: long lists, however long, lose no link."""
+    monkeypatch.setattr(near_dedup, "LIST", 2)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(60)]
+    texts = []
+    for group in (1, 1, 1, 2, 3, 10, 40, 90):
+        base = rng.choices(vocabulary, k=rng.randint(5, 160))
+        texts += [_copy(rng, base, rng.choice([0, 0.01, 0.03, 0.06]), vocabulary) for _ in range(group)]
+    shared = rng.choices(vocabulary, k=60)  # a passage that many share
+    texts += [shared + rng.choices(vocabulary, k=rng.randint(10, 60)) for _ in range(80)]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark, rows, 2) == brute(rows, 2)
