@@ -152,6 +152,15 @@ def test_contexts(spark, small):
     assert [r.llm_initial_analysis.problem_description for r in rows] == ["p"]
 
 
+def test_analyses_are_not_broadcast(spark, small):
+    replies = spark.createDataFrame([("s", json.dumps(GOOD))], "session_id string, reply string")
+    found = modeljson.analyses(replies).select("session_id", "llm_initial_analysis")
+    packs = rootcause.recommendation_context(chains.trigger_errors(small.pool), found)
+    assert [p.session_id for p in packs.collect()] == ["s"]
+    plan = packs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_documentation_of_the_fixed_queries(spark, small):
     texts = ["system architecture of the gateway", "error patterns of the system", "remediation steps for queues", "configuration guides", "lunch menu", None]
     chunks = spark.createDataFrame(list(enumerate(texts)), "vec_id long, content string")
