@@ -364,6 +364,9 @@ def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return found.where(F.getbit(byte, place % 8) == 1).select(rows.columns)
 
 
+_perhaps_in = perhaps_in
+
+
 def _freed(df: DataFrame) -> None:
     """Lets go of the shuffle files of finished tables: Spark deletes them once the driver has collected their plans."""
     gc.collect()
