@@ -160,3 +160,20 @@ def test_unusable_vectors_are_left_out(spark):
     got = [(x.query_id, x.rank, x.vec_id) for x in r.topk_similar(chunks, queries).orderBy("rank").collect()]
     assert got == [(7, 1, 1), (7, 2, 5)]
     assert {x.vec_id for x in r.unusable_vectors(chunks, 2).collect()} == {2, 3, 4, 6}
+
+
+def test_recursive_chunks_hold_a_slice_of_a_batch_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(r, "SLICE_CHARS", 2500)
+    texts = ["w " * 600, None, "", "x\n\n" * 400, "é" * 3000, "a b"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["source", "_text"])
+    out = list(r._chunk_slices([batch]))
+    assert len(out) > 1
+    sizes = [sum(len(t or "") for t in texts[i : i + b.num_rows]) for i, b in zip(np.cumsum([0] + [b.num_rows for b in out]), out)]
+    assert all(s <= 2500 or b.num_rows == 1 for s, b in zip(sizes, out))
+    got = [c for b in out for c in b.column("_chunks").to_pylist()]
+    assert got == [r.split_recursively(t or "") for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = r.chunk_recursive(docs, "id", "text").orderBy("source", "chunk").collect()
+    assert [x.content for x in rows] == [c for t in texts for c in r.split_recursively(t or "")]
