@@ -344,8 +344,24 @@ def _links_of_prefixes(members: DataFrame, classes: DataFrame, full: DataFrame,
         pairs = pairs.where(100 * both >= SIMILAR * (F.col("na") + F.col("nb") - both))
         pairs = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n"), F.col("b").alias("leader"), F.col("nb").alias("nl"))
         links = links.unionByName(_compared(pairs, classes, full).where(_similar(SIMILAR)).select("a", "b"))
-        rows = held.where(F.col("length") > LIST).select("cid", "key", "at")
-        if level == LEVELS or rows.isEmpty():
+        if level == LEVELS:
+            break
+        # a long list with at most LIST members outside its largest component: a pair between components has an end among
+        # them, so they meet the whole list; only lists with more go on to the next level, whose keys grow as its square
+        counts = held.where(F.col("length") > LIST).groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+        major = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x"))
+        major = major.select("key", (-F.col("x.m")).alias("major"), F.col("x.c").alias("in_major"))
+        long = held.join(major, "key").withColumn("outside", F.col("length") - F.col("in_major"))
+        long = materialise(long, "prefix_lists")
+        few = long.where(F.col("outside") <= LIST)
+        minor = few.where(F.col("component") != F.col("major"))
+        minor = minor.select(F.col("key").alias("of_key"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("most").alias("most_l"), F.col("component").alias("of"))
+        both = F.least("most", "most_l")
+        met = (F.col("key") == F.col("of_key")) & (F.col("component") != F.col("of")) & _sizes_fit(F.col("n"), F.col("nl"))
+        met = few.join(minor, met).where(100 * both >= SIMILAR * (F.col("n") + F.col("nl") - both))
+        links = links.unionByName(_compared(met.select("cid", "n", "leader", "nl"), classes, full).where(_similar(SIMILAR)).select("a", "b"))
+        rows = long.where(F.col("outside") > LIST).select("cid", "key", "at")
+        if rows.isEmpty():
             break
     return links
 

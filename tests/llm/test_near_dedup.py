@@ -135,3 +135,19 @@ def test_lists_longer_than_every_cap_lose_no_link(spark, monkeypatch):
     rng.shuffle(texts)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert found(spark, rows, 2) == brute(rows, 2)
+
+
+def test_long_prefix_lists_with_few_outside_their_largest_component_go_no_deeper(spark, monkeypatch):
+    """A long prefix list whose members but LIST lie in one component gives its pairs at once: its members' keys of the
+    next level, which grow as the square of their prefixes, are not written."""
+    monkeypatch.setattr(near_dedup, "LIST", 2)
+    written = []
+    real = near_dedup.materialise
+    monkeypatch.setattr(near_dedup, "materialise", lambda df, name: written.append(name) or real(df, name))
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = rng.choices(vocabulary, k=60)
+    texts = [_copy(rng, base, 0.03, vocabulary) for _ in range(12)] + [_copy(rng, base, 0.15, vocabulary)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert found(spark, rows, 2) == brute(rows, 2)
+    assert written.count("prefix_lists") == 3
