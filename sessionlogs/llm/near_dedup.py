@@ -9,19 +9,13 @@ document with the smallest id.
    union sketch has RUN shared values in a row, which fails by chance about once in a million pairs at the threshold itself and far less above it.
    Runs stay rare where single shingles are common, so lists don't grow with the corpus. Sets of at most K values, whose
    sketch is the whole set, use single values instead, and only the rarest that any linked set must share one of (for sure).
-3. Lists of at most LIST members give all their pairs. A longer list is a large group or a passage that many share. All members of long
-   lists get lists of more values at once: retained values fall into
-   SLOTS by their low bits, and each of KEYS fixed choices of slots gives a key of their least values. Linked sets agree in a slot about as
-   often as they are similar, so they share a key of six slots for sure but for a few in a million, while sets that only share a passage seldom do. Lists
-   within one component are left out, short ones give all pairs between components, and in long ones the most central members (in most long
-   lists) lead: members are compared with leaders, and those that no leader is linked with meet more leaders in the next round; then each long
-   list, at any length, gives all pairs that are still between components, each with a member outside its list's largest component. Where copies differ by edits of their own, whatever is linked with one is linked with a central one too.
-   Sets of at most K values are compared by whole sets instead: linked sets share the first l values, rarest first, within their prefixes of
-   size - least overlap + l, so lists by the first shared value, the long ones split by the second and so on to the LEVELS-th, hold all pairs.
-   All members of long lists are then compared so, each list left out once it lies within one component, so keys of slots lose no pair.
-   ``exact=True`` skips the keys of slots.
-4. The union sketch estimates the similarity, and what is clearly below is dropped.
-5. Exact Jaccard on the full sets verifies: first a pair per class with its best neighbour, then only pairs whose ends these links left in
+3. Lists of at most LIST members give all their pairs. A longer list is a large group or a passage that many share. All members of long lists
+   are compared by whole sets: linked sets share one of the first size - least overlap + 1 values, rarest first, so lists by these values
+   hold all pairs. Lists within one component are left out. A group's lists have much the same members, so those with the same most central
+   member (in most lists) are joined to one, which is cut into blocks of about BLOCK values. Every block meets every other in a task of its own, which
+   counts the common values of all pairs and passes on no more links than join components. So no pair is a row, and none is left out.
+4. In short lists the union sketch estimates the similarity, and what is clearly below is dropped.
+5. Exact Jaccard on the full sets verifies these: first a pair per class with its best neighbour, then only pairs whose ends these links left in
    different components.
 
 Hashes have 64 bits. Defined cases: NULL and empty texts, or texts without words, have an empty set and no link; a text with fewer words than a
@@ -33,7 +27,6 @@ Texts are read whole. Extra columns are left to the caller. An empty table gives
 from __future__ import annotations
 
 import gc
-import random
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -50,14 +43,9 @@ RUN = 3
 #: Sets that a linked partner's sketch holds whole: 80 % of K.
 SMALL = 32
 LIST = 32
-#: Shared values by which long lists are split. Linked sets that aren't equal share 4 at least, so more would lose pairs.
-LEVELS = 4
-#: Slots of a sketch, choices of slots, and the number of slots in one.
-SLOTS = 20
-KEYS = 40
-CHOSEN = 6
-#: Leaders of a long list in each round; whatever they leave in different components gives all its pairs, at any length.
-LEADERS = (1, 4, 16)
+#: Values of the sets in a block, and cells of the matrices that compare two blocks.
+BLOCK = 1 << 19
+CELLS = 1 << 20
 #: Least similarity, in hundredths.
 SIMILAR = 80
 #: Estimates below this are dropped: at the threshold itself, 17 or fewer hits of K come up twice in ten million pairs.
@@ -236,134 +224,96 @@ def _links_of_short_lists(pairs: DataFrame, full: DataFrame) -> tuple[DataFrame,
     return first.unionByName(materialise(verified(rest, full), "links")), labels
 
 
-def _compared(rows: DataFrame, classes: DataFrame, full: DataFrame) -> DataFrame:
-    """Sizes of the pairs among ``rows`` of (cid, n, leader, nl) whose estimate is high enough."""
-    rows = rows.where((F.col("cid") != F.col("leader")) & _sizes_fit(F.col("n"), F.col("nl")))
-    pairs = rows.select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
-    return materialise(measured(_estimated(pairs, classes), full), "pairs")
-
-
-def _led(found: DataFrame, classes: DataFrame, full: DataFrame, links: DataFrame, leaders: tuple[int, ...]) -> DataFrame:
-    """Adds the links of members of ``found`` (key, cid, n, alone), long lists, with their leaders."""
-    pending = found
-    sizes = classes.select(F.col("cid").alias("leader"), F.col("n").alias("nl"))
-    for k, parts in enumerate(leaders):
-        # a list's members fall into as many parts as it gets leaders: minima are pre-aggregated, no list is gathered
-        led = pending.groupBy("key", F.pmod(F.xxhash64("cid"), F.lit(parts)).alias("part")).agg(F.min(F.struct("alone", "cid")).alias("x"))
-        led = materialise(led.select("key", F.col("x.cid").alias("leader")).join(sizes, "leader"), "leaders")
-        # a list has few leaders, a member at most KEYS lists: each of its leaders once
-        of_list = led.groupBy("key").agg(F.collect_list(F.struct("leader", "nl")).alias("leaders"))
-        of_member = pending.join(of_list, "key").groupBy("cid", "n").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders"))
-        new = _compared(of_member.select("cid", "n", F.inline("leaders")), classes, full).where(_similar(SIMILAR)).select("a", "b")
-        links = links.unionByName(new)
-        if k + 1 < len(leaders):
-            done = led.select(F.col("leader").alias("cid")).union(new.select("a")).union(new.select("b")).distinct()
-            pending = materialise(pending.join(done, "cid", "left_anti"), "pending")
-            if pending.isEmpty():
-                break
-    return links
-
-
-def _slot_keys(chosen: int) -> Column:
-    """Keys of the least retained values in KEYS fixed choices of slots."""
-    rng = random.Random(chosen)
-    choices = [sorted(rng.sample(range(SLOTS), chosen)) for _ in range(KEYS)]
-    return F.array(*(F.xxhash64(F.lit(i), *(F.get("slots", F.lit(c)) for c in own)) for i, own in enumerate(choices)))
-
-
-def _links_of_slots(members: DataFrame, classes: DataFrame, full: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds the links between ``members`` of different components, by lists of several values.
-
-    Components (``labels``) only leave pairs out, so those of some links will do.
-    """
-    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.coalesce(F.get(F.filter("sketch", lambda v: F.pmod(v, F.lit(SLOTS)) == k), F.lit(0)), k.cast("long")))
-    def pairs_between(rows: DataFrame) -> DataFrame:
-        # a pair between components has an end outside its list's largest component: only such members meet the whole list
-        sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("largest"))
-        minor = rows.join(largest, "key").where(F.col("component") != F.col("largest"))
-        other = minor.select(F.col("key").alias("of_key"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("component").alias("of"))
-        apart = (F.col("key") == F.col("of_key")) & (F.col("component") != F.col("of")) & _sizes_fit(F.col("n"), F.col("nl"))
-        return _compared(rows.join(other, apart).select("cid", "n", "leader", "nl"), classes, full).where(_similar(SIMILAR)).select("a", "b")
-
-    # one choice of keys for all: keys of more slots would not hold every pair that shared a key of fewer, so no list moves on to them
-    own = classes.join(members, "cid", "left_semi").join(labels.withColumnRenamed("id", "cid"), "cid", "left")
-    own = materialise(own.select("cid", "n", slots.alias("slots"), F.coalesce("component", "cid").alias("component")), "slots")
-    rows = own.select("cid", "n", "component", F.explode(_slot_keys(CHOSEN)).alias("key"))
-    # lists within one component have nothing to add
-    lengths = rows.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("first"), F.max("component").alias("last"))
-    held = materialise(rows.join(lengths.where("first < last").select("key", "length"), "key"), "slot_lists")
-    links = links.unionByName(pairs_between(held.where(F.col("length") <= LIST)))
-    long = held.where(F.col("length") > LIST)
-    if long.isEmpty():
-        return links
-    central = long.groupBy("cid").agg((-F.count(F.lit(1))).alias("alone"))
-    links = materialise(_led(materialise(long.select("key", "cid", "n").join(central, "cid"), "slot_lists"), classes, full, links, LEADERS), "links")
-    labels = components(links)
-    long = long.drop("component").join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    # lists of any length give all pairs that their leaders leave between components: no cap
-    return links.unionByName(pairs_between(materialise(long, "slot_lists")))
+def _size_class(n: Column) -> Column:
+    """Sizes by steps of 26 per cent: those of linked sets are in one class or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(1.26)))
 
 
-def _bucket(n: Column) -> Column:
-    """Sizes up to K apart, larger ones by steps of five per cent."""
-    return F.when(n <= K, n).otherwise(K + F.floor(20 * F.log(n / K))).cast("int")
+def _links_of_prefixes(members: DataFrame, full: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds links between ``members`` of different components, until no two linked ones are apart, by prefixes of their whole sets.
 
-
-def _links_of_prefixes(members: DataFrame, classes: DataFrame, full: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds the links between ``members`` of different components, by prefixes of their whole sets."""
+    Components (``labels``) only leave pairs out, so those of some links will do.
+    """
     values = full.join(members, "cid", "left_semi").select("cid", F.size("items").alias("n"), F.explode("items").alias("key"))
     values = _shared(values).groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("x"))
     alone = F.col("n") - F.size("x")
     spare = (F.col("n") - F.ceil(F.col("n") * SIMILAR / 100) - alone).cast("int")
-    prefix = F.transform(F.slice("x", F.lit(1), F.greatest(F.lit(0), spare + LEVELS)), lambda v: v["key"])
-    prefixes = materialise(values.where(spare >= 0).select("cid", "n", alone.alias("alone"), spare.alias("spare"), prefix.alias("x")), "prefixes")
-    rows = prefixes.select("cid", F.lit(0).cast("long").alias("key"), F.lit(0).alias("at"))
-    for level in range(1, LEVELS + 1):
-        upto = F.least(F.size("x"), F.col("spare") + level)
-        grown = rows.join(prefixes, "cid").where(upto > F.col("at"))
-        grown = grown.select("cid", "n", "alone", "key", "at", F.posexplode(F.slice("x", F.col("at") + 1, upto - F.col("at"))).alias("pos", "value"))
-        at = F.col("at") + F.col("pos") + 1
-        # most that can be shared if the key has the first shared values, and the largest partner for which that is enough
-        most = (level + F.col("n") - F.col("alone") - at).cast("long")
-        grown = grown.select(F.xxhash64("key", "value").alias("key"), "cid", "n", at.alias("at"), most.alias("most"))
-        grown = grown.withColumn("largest", F.floor((100 + SIMILAR) * F.col("most") / SIMILAR - F.col("n")))
-        grown = grown.withColumn("smallest", F.ceil(F.col("n") * SIMILAR / 100)).where(F.col("largest") >= F.col("smallest"))
-        grown = grown.join(labels.select(F.col("id").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        grown = materialise(grown, "prefix_lists")
-        # lists within one component have nothing to add
-        lengths = grown.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min("component").alias("first"), F.max("component").alias("last"))
-        held = materialise(grown.join(lengths.where("first < last").select("key", "length"), "key"), "prefix_lists")
-        short = held if level == LEVELS else held.where(F.col("length") <= LIST)
-        # each pair from its larger end, or from both if the sizes are equal
-        a = short.withColumn("bucket", F.explode(F.sequence(_bucket(F.col("smallest")), _bucket(F.least("n", "largest")))))
-        a = a.select("key", "bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("most").alias("most_a"), F.col("component").alias("ca"))
-        b = short.select("key", _bucket(F.col("n")).alias("bucket"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("most").alias("most_b"), F.col("component").alias("cb"))
-        both = F.least("most_a", "most_b")
-        pairs = a.join(b, ["key", "bucket"]).where((F.col("ca") != F.col("cb")) & (F.col("nb") <= F.col("na")))
-        pairs = pairs.where(100 * both >= SIMILAR * (F.col("na") + F.col("nb") - both))
-        pairs = pairs.select(F.col("a").alias("cid"), F.col("na").alias("n"), F.col("b").alias("leader"), F.col("nb").alias("nl"))
-        links = links.unionByName(_compared(pairs, classes, full).where(_similar(SIMILAR)).select("a", "b"))
-        if level == LEVELS:
-            break
-        # a long list with at most LIST members outside its largest component: a pair between components has an end among
-        # them, so they meet the whole list; only lists with more go on to the next level, whose keys grow as its square
-        counts = held.where(F.col("length") > LIST).groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        major = counts.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("m"))).alias("x"))
-        major = major.select("key", (-F.col("x.m")).alias("major"), F.col("x.c").alias("in_major"))
-        long = held.join(major, "key").withColumn("outside", F.col("length") - F.col("in_major"))
-        long = materialise(long, "prefix_lists")
-        few = long.where(F.col("outside") <= LIST)
-        minor = few.where(F.col("component") != F.col("major"))
-        minor = minor.select(F.col("key").alias("of_key"), F.col("cid").alias("leader"), F.col("n").alias("nl"), F.col("most").alias("most_l"), F.col("component").alias("of"))
-        both = F.least("most", "most_l")
-        met = (F.col("key") == F.col("of_key")) & (F.col("component") != F.col("of")) & _sizes_fit(F.col("n"), F.col("nl"))
-        met = few.join(minor, met).where(100 * both >= SIMILAR * (F.col("n") + F.col("nl") - both))
-        links = links.unionByName(_compared(met.select("cid", "n", "leader", "nl"), classes, full).where(_similar(SIMILAR)).select("a", "b"))
-        rows = long.where(F.col("outside") > LIST).select("cid", "key", "at")
-        if rows.isEmpty():
-            break
-    return links
+    shared = F.transform("x", lambda v: v["key"])
+    sets_ = materialise(values.where(spare >= 0).select("cid", "n", spare.alias("spare"), shared.alias("items")), "prefixes")
+    # linked sets share one of the first values, rarest first, and a class of sizes
+    grown = sets_.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    grown = grown.select("cid", "n", "component", F.explode(F.slice("items", F.lit(1), F.col("spare") + 1)).alias("value"))
+    grown = grown.withColumn("sizes", F.explode(F.array(_size_class(F.col("n")), _size_class(F.col("n")) + 1)))
+    grown = materialise(grown.select(F.xxhash64("value", "sizes").alias("key"), "cid", "n", "component"), "prefix_lists")
+    # lists within one component have nothing to add
+    between = grown.groupBy("key").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    held = materialise(grown.join(between.select("key"), "key", "left_semi"), "prefix_lists")
+    # a group's lists have much the same members: lists with the same most central one are compared as one, which holds all their pairs
+    central = held.groupBy("cid").agg(F.count(F.lit(1)).alias("lists"))
+    leaders = held.join(central, "cid").groupBy("key").agg(F.max(F.struct("lists", (-F.col("cid")).alias("m"))).alias("x"))
+    led = held.join(leaders.select("key", (-F.col("x.m")).alias("leader")), "key").select("leader", "cid", "n", "component").distinct()
+    parts = F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts")
+    loads = led.groupBy("leader").agg(parts, F.min("component").alias("first"), F.max("component").alias("last")).where("first < last")
+    led = materialise(led.join(loads.select("leader", "parts"), "leader"), "prefix_lists")
+    if led.isEmpty():
+        return links
+    # blocks of bounded size, each compared with each other one: no pair is a row
+    own = led.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("leader", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "cid", "component")
+    found = met.join(sets_.select("cid", "n", "items"), "cid").groupBy("leader", "i", "j").applyInArrow(_linked, "a long, b long")
+    return links.unionByName(materialise(found, "links"))
+
+
+def _linked(block: pa.Table) -> pa.Table:
+    """Links between sets of part ``i`` and part ``j``: as many as join the components that all linked pairs join."""
+    block = block.select(["i", "j", "part", "cid", "component", "n", "items"]).combine_chunks()
+    part, cid, n = (block.column(c).to_numpy() for c in ("part", "cid", "n"))
+    lengths = pc.list_value_length(block.column("items")).to_numpy()
+    codes = np.unique(pc.list_flatten(block.column("items")).to_numpy(), return_inverse=True)[1]
+    label = np.unique(block.column("component").to_numpy(), return_inverse=True)[1]
+    rows, others = (np.flatnonzero(part == block.column(c)[0].as_py()) for c in ("i", "j"))
+    owner = np.repeat(np.arange(len(cid)), lengths)
+    counts = np.bincount(codes, minlength=1)
+    # frequent values are counted by a matrix product, the others by their lists
+    frequent = np.argsort(-counts, kind="stable")[: CELLS // len(cid)]
+    frequent = frequent[counts[frequent] * 16 >= len(cid)]
+    place = np.full(len(counts), -1)
+    place[frequent] = np.arange(len(frequent))
+    held = np.zeros((len(cid), len(frequent)), np.float32)
+    often = place[codes] >= 0
+    held[owner[often], place[codes[often]]] = 1
+    rare = ~often & (counts[codes] > 1)
+    codes, owner = codes[rare], owner[rare]
+    first = np.searchsorted(owner, np.arange(len(cid) + 1))
+    column = np.full(len(cid), -1)
+    column[others] = np.arange(len(others))
+    listed = column[owner] >= 0
+    order = np.argsort(codes[listed], kind="stable")
+    members = column[owner[listed]][order]
+    length = np.bincount(codes[listed], minlength=len(counts))
+    start = np.cumsum(length) - length
+    steps = np.add.reduceat(np.r_[length[codes], 0], first[:-1]) * (first[1:] > first[:-1])
+    a, b = [], []
+    cost = np.cumsum(steps[rows] + len(others)) // CELLS
+    for at in np.split(rows, np.flatnonzero(np.diff(cost)) + 1):
+        both = (held[at] @ held[others].T).astype(np.float64)
+        tokens = np.concatenate([np.arange(first[r], first[r + 1]) for r in at])
+        line = np.repeat(np.arange(len(at)), first[at + 1] - first[at])
+        many = length[codes[tokens]]
+        cells = np.repeat(start[codes[tokens]] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        cells = np.repeat(line * len(others), many) + members[cells]
+        both += np.bincount(cells, minlength=both.size).reshape(both.shape)
+        similar = 100 * both >= SIMILAR * (n[at][:, None] + n[others][None, :] - both)
+        for k in np.flatnonzero(similar.any(axis=1)):
+            met = others[similar[k]]
+            apart = met[label[met] != label[at[k]]]
+            if len(apart):
+                joined, one = np.unique(label[apart], return_index=True)
+                a.extend(np.minimum(cid[apart[one]], cid[at[k]]))
+                b.extend(np.maximum(cid[apart[one]], cid[at[k]]))
+                label[np.isin(label, joined)] = label[at[k]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -390,7 +340,7 @@ def _freed(df: DataFrame) -> None:
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 2, *, exact: bool = False) -> DataFrame:
-    """A row per row of ``docs``: the id, ``n_shingles``, ``component_id`` and ``kept``. ``exact``: see step 3 above."""
+    """A row per row of ``docs``: the id, ``n_shingles``, ``component_id`` and ``kept``. ``exact`` is for callers of before: all long lists are now."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
     fields = "id long, n long, fp long, fq long, sketch array<long>"
     hashed = materialise(rows.mapInArrow(_over(fields, _sketch, shingle), fields), "sketches")
@@ -412,20 +362,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     full = materialise(full.dropDuplicates(["cid", "fp"]), "sets")
     _freed(docs)
     links, labels = _links_of_short_lists(pairs, full)
-    every = classes
     if not long.isEmpty():
-        members = materialise(long.select("cid", "n").distinct(), "members")
-        classes = materialise(classes.join(members.select("cid"), "cid", "left_semi"), "classes")
-        full = materialise(full.join(members.select("cid"), "cid", "left_semi"), "sets")
-        _freed(docs)
-        if not exact:
-            # keys of slots merge most of large groups at little cost, but lose pairs near the threshold
-            links = _links_of_slots(members.select("cid"), classes, full, links, labels)
-            labels = components(links)
-        # the exact way for the rest: prefixes of whole sets give every pair that is still between components
-        links = _links_of_prefixes(members.select("cid"), classes, full, links, labels)
+        members = materialise(long.select("cid").distinct(), "members")
+        links = _links_of_prefixes(members, full, links, labels)
     labels = components(links)
-    member = every.select("cid", "fp", "fq", "n").join(labels, F.col("cid") == F.col("id"), "left").select("fp", "fq", "n", F.coalesce("component", "cid").alias("component"))
+    member = classes.select("cid", "fp", "fq", "n").join(labels, F.col("cid") == F.col("id"), "left").select("fp", "fq", "n", F.coalesce("component", "cid").alias("component"))
     out = hashed.select("id", "n", "fp", "fq").join(member, ["fp", "fq", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     out = out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -151,3 +151,63 @@ def test_long_prefix_lists_with_few_outside_their_largest_component_go_no_deeper
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert found(spark, rows, 2) == brute(rows, 2)
     assert written.count("prefix_lists") == 3
+
+
+def _near_misses(rng, copies):
+    """Copies of one text whose similarities lie below the threshold, so that no link makes them one component, and a few linked ones."""
+    base = [f"w{i}" for i in range(120)]
+    edits = [{*rng.sample(range(120), 5)} for _ in range(copies)]
+    texts = [[f"x{k}_{i}" if i in own else w for i, w in enumerate(base)] for k, own in enumerate(edits)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts + [[*t, "end"] for t in texts[:5]])]
+
+
+def test_rows_of_long_lists_grow_with_the_texts_not_with_their_pairs(spark, monkeypatch):
+    """No table that is written for a group of near misses has a row for each pair, or for each choice of several shared values."""
+    rows = _near_misses(random.Random(3), 90)
+    written = []
+    real = near_dedup.materialise
+
+    def counted(df, name):
+        out = real(df, name)
+        written.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialise", counted)
+    want = brute(rows, 2)
+    assert found(spark, rows, 2) == want
+    shingles = sum(n for n, _ in want.values())
+    assert max(written)[0] <= shingles, max(written)
+
+
+def test_blocks_of_a_long_list_hold_all_its_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 1500)
+    rows = _near_misses(random.Random(4), 60)
+    assert found(spark, rows, 2) == brute(rows, 2)
+
+
+@pytest.mark.parametrize("cells", [300, 5000, 1 << 20])
+def test_linked_joins_what_all_pairs_of_a_block_join(monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "CELLS", cells)
+    rng = random.Random(cells)
+    base = rng.sample(range(1000), 40)
+    sets = [sorted({rng.randrange(1000, 3000) if rng.random() < 0.07 else v for v in base}) for _ in range(60)] + [[]]
+    part, component = [rng.randrange(2) for _ in sets], [rng.randrange(40) for _ in sets]
+    columns = {"part": part, "cid": range(len(sets)), "component": component, "n": map(len, sets), "items": sets}
+    block = near_dedup.pa.table({"i": [0] * len(sets), "j": [1] * len(sets)} | {k: list(v) for k, v in columns.items()})
+
+    def joined(pairs):
+        parent = {c: c for c in component}
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for a, b in pairs:
+            parent[root(component[a])] = root(component[b])
+        return {frozenset(c for c in parent if root(c) == r) for r in map(root, parent)}
+
+    def linked(a, b):
+        return sets[a] and sets[b] and 100 * len({*sets[a]} & {*sets[b]}) >= 80 * len({*sets[a]} | {*sets[b]})
+
+    every = [(a, b) for b in range(len(sets)) for a in range(b) if part[a] != part[b] and linked(a, b)]
+    got = [(r["a"], r["b"]) for r in near_dedup._linked(block).to_pylist()]
+    assert {*got} <= {*every} and joined(got) == joined(every) and len(got) == len({*component}) - len(joined(every))
