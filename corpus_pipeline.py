@@ -33,12 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without an id, and those without words, are no one's duplicates and stay.
     """
     groups = near_dedup.groups(docs, shingle=SHINGLE)
-    kept = materialise(groups.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    once = docs.join(kept.where("_n = 1"), "doc_id", "left_semi")
+    # most ids have one row that is kept: their texts pass by a filter, and only the others' are shuffled
+    counts = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count_if("kept").alias("_n"))
+    other = materialise(counts.where("_n <> 1"), "other_ids")
+    once, perhaps = (near_dedup.perhaps_in(docs, other, "doc_id", inside=x) for x in (False, True))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = F.min(F.struct(F.col("text").isNull().alias("_none"), "text", *others)).alias("_row")
-    repeated = docs.join(kept.where("_n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "_row.*").drop("_none")
-    return once.unionByName(repeated).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    repeated = perhaps.join(other.where("_n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "_row.*").drop("_none")
+    return once.unionByName(perhaps.join(other, "doc_id", "left_anti")).unionByName(repeated).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,18 +316,18 @@ def _linked(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def perhaps_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``rows`` (with ``id``) without most of those whose id isn't among ``ids``: one bit for each id, in pieces of 4 kB.
+def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", *, inside: bool = True) -> DataFrame:
+    """``rows`` (with ``name``) without most of those whose id isn't among ``ids``, or else those left out: one bit for each id, in pieces of 4 kB.
 
     The filter has FILTER_BITS at most, so it is broadcast; an exact join follows. It spares the shuffle of texts while ids are fewer than bits.
     """
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS))
     pieces = ids.select(F.shiftright(bit, 15).alias("_piece"), bit.bitwiseAND(F.lit(32767)).alias("_bit"))
     pieces = pieces.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     place = bit.bitwiseAND(F.lit(32767)).cast("int")
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_piece", F.shiftright(bit, 15)).join(F.broadcast(pieces), "_piece")
-    return found.where(F.getbit(byte, place % 8) == 1).select(rows.columns)
+    found = rows.withColumn("_piece", F.shiftright(bit, 15)).join(F.broadcast(pieces), "_piece", "inner" if inside else "left")
+    return found.where(F.coalesce(F.getbit(byte, place % 8), F.lit(0)) == int(inside)).select(rows.columns)
 
 
 _perhaps_in = perhaps_in

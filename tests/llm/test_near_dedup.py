@@ -211,3 +211,12 @@ def test_linked_joins_what_all_pairs_of_a_block_join(monkeypatch, cells):
     every = [(a, b) for b in range(len(sets)) for a in range(b) if part[a] != part[b] and linked(a, b)]
     got = [(r["a"], r["b"]) for r in near_dedup._linked(block).to_pylist()]
     assert {*got} <= {*every} and joined(got) == joined(every) and len(got) == len({*component}) - len(joined(every))
+
+
+def test_filter_parts_the_rows(spark):
+    rows = spark.range(-500, 500).unionByName(spark.createDataFrame([(None,)], "id long")).selectExpr("id as k")
+    ids = spark.range(-500, 500, 9).selectExpr("id as k")
+    inside, outside = ([r.k for r in near_dedup.perhaps_in(rows, ids, "k", inside=x).collect()] for x in (True, False))
+    assert sorted(map(str, inside + outside)) == sorted(map(str, [*range(-500, 500), None]))
+    assert not {*outside} & {*range(-500, 500, 9)}
+    assert near_dedup.perhaps_in(rows, ids.limit(0), "k", inside=False).count() == 1001

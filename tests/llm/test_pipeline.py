@@ -69,3 +69,16 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, t, "s") for t in texts] + [(None, "x y", "s"), (None, "x y", "s"), (2, "a b c d e f g", "t")]
     found = [sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, documents(spark, r), "").collect())) for r in (rows, rows[::-1])]
     assert found[0] == found[1] and len(found[0]) == 3
+
+
+def test_only_texts_of_dropped_or_repeated_ids_are_shuffled(spark):
+    """Of the documents whose id has one row that is kept, the near-duplicates stage moves no text between tasks."""
+    rows = [(k, " ".join(f"w{k}_{i}" for i in range(20)), "s") for k in range(300)]
+    rows += [(1000, rows[7][1], "s"), (8, None, "s"), (8, rows[3][1], "t"), (None, rows[5][1], "s"), (None, None, "s")]
+    out = corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows).repartition(3), "")
+    got = {(r.doc_id, r.text) for r in out.collect()}
+    assert {k for k, _ in got} == {*range(300), None} and (1000, rows[7][1]) not in got and (None, rows[5][1]) in got
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    union = next(k for k, line in enumerate(plan) if "Union" in line)
+    first = next(line for line in plan[union + 1 :] if "Join" in line)
+    assert "_piece" in first, first  # a broadcast of bits, not a join by id
