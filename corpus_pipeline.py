@@ -35,7 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     groups = near_dedup.groups(docs, shingle=SHINGLE)
     # most ids have one row that is kept: their texts pass by a filter, and only the others' are shuffled
     counts = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count_if("kept").alias("_n"))
-    other = materialise(counts.where("_n <> 1"), "other_ids")
+    other = counts.where("_n <> 1").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), "_n")  # the filter hashes by type
+    other = materialise(other, "other_ids")
     once, perhaps = (near_dedup.perhaps_in(docs, other, "doc_id", inside=x) for x in (False, True))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     least = F.min(F.struct(F.col("text").isNull().alias("_none"), "text", *others)).alias("_row")

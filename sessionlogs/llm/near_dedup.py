@@ -321,7 +321,7 @@ def perhaps_in(rows: DataFrame, ids: DataFrame, name: str = "id", *, inside: boo
 
     The filter has FILTER_BITS at most, so it is broadcast; an exact join follows. It spares the shuffle of texts while ids are fewer than bits.
     """
-    bit = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64(name), F.lit(FILTER_BITS))
     pieces = ids.select(F.shiftright(bit, 15).alias("_piece"), bit.bitwiseAND(F.lit(32767)).alias("_bit"))
     pieces = pieces.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     place = bit.bitwiseAND(F.lit(32767)).cast("int")

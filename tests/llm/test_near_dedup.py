@@ -220,3 +220,9 @@ def test_filter_parts_the_rows(spark):
     assert sorted(map(str, inside + outside)) == sorted(map(str, [*range(-500, 500), None]))
     assert not {*outside} & {*range(-500, 500, 9)}
     assert near_dedup.perhaps_in(rows, ids.limit(0), "k", inside=False).count() == 1001
+
+
+def test_filter_takes_ids_of_any_type(spark):
+    rows, ids = (spark.range(n).selectExpr("sha2(string(id), 256) as k") for n in (50, 5))
+    assert near_dedup.perhaps_in(rows, ids, "k").join(ids, "k").count() == 5
+    assert near_dedup.perhaps_in(rows, ids, "k", inside=False).join(ids, "k").count() == 0
